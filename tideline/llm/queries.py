@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, lang_id, pii, secret_scan, shards
+from . import bpe, caps, decontam, jaccard, lang_id, main_text, pii, repeats, secret_scan, shards
 
 
-def _ranks() -> tuple[str, str]:
+def tokenizer() -> tuple[str, str]:
     import public_tokenizers as P
 
     return P.path("byte_bpe_50k.tiktoken"), P.PATTERN
@@ -30,7 +30,7 @@ def hashed(text: Column) -> Column:
 
 def encoded(docs: DataFrame) -> DataFrame:
     """Ids, decoded again, as digests."""
-    path, pattern = _ranks()
+    path, pattern = tokenizer()
     out = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), hashed(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), hashed(F.col("decoded")).alias("decoded_sha256"))
 
@@ -40,7 +40,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = secret_scan.scan(table(spark, sf_dir, "documents"), *_ranks())
+    out = secret_scan.scan(table(spark, sf_dir, "documents"), *tokenizer())
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return out.select("doc_id", *map(count, ("assign", "access", "hex")), hashed(written_spans("base_spans")).alias("base_sha256"), written_spans("spans").alias("spans"))
 
@@ -57,16 +57,35 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", hashed(F.array_join("items", ",")).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shards.assign(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = main_text.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove(table(spark, sf_dir, "documents"))
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), hashed(F.col("kept")).alias("kept_sha256"))
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.links(table(spark, sf_dir, "embeddings"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return out.select("doc_id", *map(count, ("email", "ip", "card", "phone")), hashed(written_spans("base_spans")).alias("base_sha256"), written_spans("spans").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_secret_scan, op3_decontamination, op5_sharding, op6_language_id, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_secret_scan, op3_decontamination, op4_ngram_jaccard, op5_sharding, op6_language_id, op7_main_text, op8_suffix_dedup, op9_embedding_dedup, op10_pii)}
 ORACLE_SQL: dict[str, str] = {}

@@ -55,6 +55,10 @@ class BitTable:
     def unpacked(self) -> np.ndarray:
         return np.unpackbits(np.frombuffer(self.packed, np.uint8), bitorder="little").astype(bool)
 
+    def test(self, hashes: np.ndarray) -> np.ndarray:
+        at = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (np.frombuffer(self.packed, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
 
 def bit_table(df: DataFrame, column: str, bits: int):
     """A broadcast BitTable of the column's (long) leading bits.
