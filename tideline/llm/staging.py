@@ -1,43 +1,16 @@
-"""Tables written to the shared checkpoint folder, to cut lineage.
-
-A staged table survives lost executors: it is Parquet in the folder that the
-cluster names in ``spark.checkpoint.dir``.  Where that is unset (tests, local
-runs) a folder under /tmp/checkpoints is used and removed at exit.
-"""
+"""Staged tables, Arrow maps and broadcast bit tables of the operators."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
+from ..staging import staged
 
-LOCAL = "/tmp/checkpoints"
-_RUN = uuid.uuid4().hex[:12]
-
-
-def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{LOCAL}/{_RUN}"
-        if not getattr(shared_folder, "registered", False):
-            atexit.register(shutil.rmtree, f"{LOCAL}/{_RUN}", ignore_errors=True)
-            shared_folder.registered = True
-    return folder
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/staged/{_RUN}-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["BitTable", "arrow_map", "bit_table", "staged"]
 
 
 def arrow_map(df: DataFrame, function, schema: T.StructType | str) -> DataFrame:
