@@ -7,13 +7,16 @@ among the first e + 1 (the two smallest: e + 2), where e = n - ceil(t * n).
 
 * Small sets: all subsets of two tokens of the first e + 2 are enumerated; a
   linked pair has one in common.
-* Large sets: the inverted lists of the first e + 1 tokens are scanned, and
-  pairs are counted; too few common tokens rule a pair out.
+* Large sets: the inverted lists of the first e + 1 tokens are scanned.  Of two
+  sets of n and m shingles that are linked, c or more are common, so their first
+  common token is among the first n - c + 1 of the one and m - c + 1 of the
+  other; other meetings are left out.
 * The boundary is the size where enumerating costs what scanning does, from
-  the mean length of the lists.
+  the median length of the lists.
 
 Hot groups: before the join, pairs of each MinHash bucket's members with a
-pivot are verified and linked, and the join then leaves out pairs that are
+pivot (the set whose shingles are the most frequent, as the original of many
+near copies is) are verified and linked, and the join then leaves out pairs that are
 in one component already, so a group of thousands of near copies is a star,
 not all its pairs.  Lists whose sets are all in one component are dropped.
 Every link is verified on the whole sets.
@@ -44,7 +47,7 @@ PIVOTS = 2
 FREQUENT = 1_000_000
 #: Hashes counted at a time in a task.
 COUNTED = 4_000_000
-BITS = 26
+BITS, DOC_BITS = 26, 24
 _WORD = not_space()
 
 
@@ -89,6 +92,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], shared, k: int, percent: int) -
             zero = np.zeros(b - a, U64)
             digests, bands = [zero.copy(), zero.copy()], [zero.copy() for _ in range(BANDS)]
             prefix, pb = np.zeros(0, U64), np.zeros(b - a + 1, np.int64)
+            central = np.zeros(b - a)
             if len(some):
                 for j in range(2):
                     digests[j][some] = np.add.reduceat(mix(x ^ seeds[j]), sb[some])
@@ -100,12 +104,13 @@ def _prefixes(batches: Iterator[pa.RecordBatch], shared, k: int, percent: int) -
                 if len(known):
                     at = np.minimum(np.searchsorted(known, x), len(known) - 1)
                     f = np.where(known[at] == x, freq[at], 0)
+                central[some] = np.add.reduceat(np.log1p(f), sb[some]) / n[some]
                 order = np.lexsort((x, f, row))
                 size = np.minimum(n, n + (-percent * n) // 100 + 2)  # e + 2
                 prefix = x[order][np.arange(len(x)) - sb[row] < size[row]]
                 pb = np.concatenate([[0], np.cumsum(size)])
-            cols = [pa.array(n.astype(np.int64)), *(pa.array(d.view(np.int64)) for d in digests), packed(np.stack(bands, 1).reshape(-1).view(np.int64), np.arange(b - a + 1) * BANDS, pa.int64()), packed(prefix.view(np.int64), pb, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns[:-1]), *cols], [*batch.schema.names[:-1], "n", "d1", "d2", "bands", "prefix"])
+            cols = [pa.array(n.astype(np.int64)), pa.array(central), *(pa.array(d.view(np.int64)) for d in digests), packed(np.stack(bands, 1).reshape(-1).view(np.int64), np.arange(b - a + 1) * BANDS, pa.int64()), packed(prefix.view(np.int64), pb, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns[:-1]), *cols], [*batch.schema.names[:-1], "n", "central", "d1", "d2", "bands", "prefix"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -139,6 +144,12 @@ def _crossing(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row[hit])) for c in batch.columns[:-1]), pa.array(values[hit]), pa.array(pos[hit].astype(np.int32))], [*batch.schema.names[:-1], "h", "pos"])
 
 
+def _wanted(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """The rows whose key (first column) the bit table holds."""
+    for batch in batches:
+        yield batch.filter(pa.array(shared.value.test(batch.column(0).to_numpy().view(U64))))
+
+
 def _frequencies(docs: DataFrame, k: int):
     """The most frequent shingles with counts over all documents (those of one row among millions left out)."""
     counts = staged(arrow_map(docs, partial(_count, k=k), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "frequencies")
@@ -165,7 +176,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percen
     pairs = staged(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(sets.select("sid", "doc_id", "th"), "sid")
     wanted = staged(wanted, "wanted")
-    texts = docs.select("doc_id", F.xxhash64("t").alias("th"), "t")
+    key = F.xxhash64("doc_id", "th").alias("k")
+    texts = docs.select("doc_id", F.xxhash64("t").alias("th"), "t").select(key, "doc_id", "th", "t")
+    texts = arrow_map(texts, partial(_wanted, shared=bit_table(wanted.select(key), "k", DOC_BITS)), texts.schema)
     texts = wanted.join(texts, wanted["doc_id"].eqNullSafe(texts["doc_id"]) & (wanted["th"] == texts["th"])).select("sid", "t")
     of = lambda x: texts.select(F.col("sid").alias(x), F.col("t").alias(f"t{x}"))
     return staged(arrow_map(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb"), partial(_verify, k=k, percent=percent), "a long, b long").distinct(), "links")
@@ -177,13 +190,13 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id
     shared = _frequencies(docs.select("t"), words)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("t").alias("th"), "t")
-    rows = staged(arrow_map(rows, partial(_prefixes, shared=shared, k=words, percent=percent), f"row long, doc_id {kind}, th long, n long, d1 long, d2 long, bands array<bigint>, prefix array<bigint>"), "sets")
+    rows = staged(arrow_map(rows, partial(_prefixes, shared=shared, k=words, percent=percent), f"row long, doc_id {kind}, th long, n long, central double, d1 long, d2 long, bands array<bigint>, prefix array<bigint>"), "sets")
     some = rows.filter("n > 0")
-    sets = staged(some.groupBy("d1", "d2").agg(F.min(F.struct("row", "doc_id", "th", "n", "bands")).alias("r"), F.min("doc_id").alias("least")).select("d1", "d2", F.col("r.row").alias("sid"), "r.doc_id", "r.th", "r.n", "r.bands", "least"), "classes")
+    sets = staged(some.groupBy("d1", "d2").agg(F.min(F.struct("row", "doc_id", "th", "n", "central", "bands")).alias("r"), F.min("doc_id").alias("least")).select("d1", "d2", F.col("r.row").alias("sid"), "r.doc_id", "r.th", "r.n", "r.central", "r.bands", "least"), "classes")
 
     # Stars: every set of a bucket with the bucket's pivot.
-    buckets = sets.select("sid", "n", F.posexplode("bands").alias("band", "key"))
-    pivots = buckets.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("sid", "band").alias("x"), "sid", "n")).alias("p"), F.count("*").alias("m")).filter("m > 1").select("band", "key", F.col("p.sid").alias("b"), F.col("p.n").alias("nb"))
+    buckets = sets.select("sid", "n", "central", F.posexplode("bands").alias("band", "key"))
+    pivots = buckets.groupBy("band", "key").agg(F.max(F.struct("central", "n", "sid")).alias("p"), F.count("*").alias("m")).filter("m > 1").select("band", "key", F.col("p.sid").alias("b"), F.col("p.n").alias("nb"))
     stars = buckets.join(pivots, ["band", "key"]).filter((F.col("sid") != F.col("b")) & (100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")))
     stars = stars.groupBy(F.col("sid").alias("a"), "b").agg(F.count("*").alias("m")).groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("m", "b")), asc=False), 1, PIVOTS).alias("p"))  # a set has BANDS pivots at most
     first = _verified(stars.select("a", F.explode("p.b").alias("b")), sets, docs, words, percent)
@@ -195,9 +208,9 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id
     lists = tokens.select("comp", F.explode("prefix").alias("h")).groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).filter("x < y")
     lists = staged(lists.select("h", "m"), "lists")
     postings = staged(arrow_map(tokens.select("sid", "comp", "n", "prefix"), partial(_crossing, shared=bit_table(lists, "h", BITS)), "sid long, comp long, n long, h long, pos int"), "postings")
-    mean = lists.agg(F.sum(F.col("m") * F.col("m")) / F.sum("m")).first()[0] or 1.0
-    # enumerating: (p + 1) p / 2 subsets; scanning: p lists of the mean length; p = e + 1
-    boundary = int(max(0.0, 2 * mean - 1) * 100 / (100 - percent))
+    usual = lists.agg(F.percentile_approx("m", 0.5)).first()[0] or 1
+    # enumerating: (p + 1) p / 2 subsets; scanning: p lists of the usual length; p = e + 1
+    boundary = int(max(0, 2 * usual - 1) * 100 / (100 - percent))
     small = postings.filter(F.col("n") <= boundary)
     two = small.alias("x").join(small.select("sid", F.col("h").alias("g"), F.col("pos").alias("q")), "sid").filter("pos < q")
     two = two.select("sid", "comp", "n", F.xxhash64("h", "g").alias("s"))
