@@ -219,11 +219,11 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id
     near = (F.col("x.comp") < F.col("y.comp")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
     light = two.alias("x").join(two.alias("y"), (F.col("x.s") == F.col("y.s")) & near).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
     large = postings.filter((F.col("n") * 100 >= percent * boundary) & (F.col("pos") <= _missing("n", percent)))
-    common = F.ceil((F.col("na") + F.col("nb")) * percent / F.lit(100 + percent))
-    rest = lambda n: F.col(n) - _missing(n, percent) - 1  # noqa: E731  tokens after the first e + 1
-    heavy = large.alias("x").join(large.alias("y"), (F.col("x.h") == F.col("y.h")) & near & (F.greatest("x.n", "y.n") > boundary))
-    heavy = heavy.groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count("*").alias("m"))
-    heavy = heavy.filter(F.col("m") >= F.least(common - rest("na"), common - rest("nb"))).select("a", "b")
+    both = F.col("x.n") + F.col("y.n")
+    common = F.ceil(both * percent / F.lit(100 + percent))  # tokens that a linked pair has in common, at least
+    early = (F.col("x.pos") <= F.col("x.n") - common) & (F.col("y.pos") <= F.col("y.n") - common)  # so its first one stands here
+    heavy = large.alias("x").join(large.alias("y"), (F.col("x.h") == F.col("y.h")) & near & (F.greatest("x.n", "y.n") > boundary) & early)
+    heavy = heavy.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
     links = first.union(_verified(light.union(heavy).distinct(), sets, docs, words, percent))
 
     roots = components(links)
