@@ -28,7 +28,7 @@ from .grid import packed
 from .staging import arrow_map
 
 #: Words kept with their ids in each Python worker.
-CACHE = 600_000
+CACHE = 150_000
 #: Rows are passed on when they hold so many bytes of text.
 BATCH_BYTES = 1 << 20
 
@@ -179,6 +179,7 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], shared, pattern: str, tex
                 spans = [codec.offsets(t, ids[s:e]) for t, s, e in zip(texts, bounds, bounds[1:])]
                 made.append(pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
             yield pa.RecordBatch.from_arrays([*(c[a:b] for c in rest), *made], out)
+    codec.known.clear()  # workers are kept between tasks
 
 
 def _decode_batches(batches: Iterator[pa.RecordBatch], shared, pattern: str, ids: str, out: list[str]) -> Iterator[pa.RecordBatch]:

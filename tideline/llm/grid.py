@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _BASE = 0x9E6C63D0876A46AD | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _POW: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
@@ -82,15 +82,15 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), bounds
 
 
-def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, bounds from 0) of whole rows, about size bytes each."""
+def chunks(column: pa.Array, size: int = CHUNK, most: int = 8192) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, bounds from 0) of whole rows, about size bytes and at most so many rows each."""
     if not len(column):
         return
     data, bounds = text_buffer(column)
     first = 0
     while first < len(column):
         end = int(np.searchsorted(bounds, bounds[first] + size, side="right")) - 1
-        end = min(max(end, first + 1), len(column))
+        end = min(max(end, first + 1), first + most, len(column))
         yield first, end, data[bounds[first] : bounds[end]], bounds[first : end + 1] - bounds[first]
         first = end
 

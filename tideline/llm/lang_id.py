@@ -29,8 +29,10 @@ from .staging import arrow_map
 BITS = 11
 SIZE = 2 << BITS
 #: Rows fitted on, at most: of each language (as expected by its count) and in all.
-PER_LANGUAGE, MOST_ROWS = 600, 6000
+PER_LANGUAGE, MOST_ROWS = 500, 4000
 UNKNOWN = "und"
+#: Rows whose features are held at a time (SIZE counts each).
+ROWS = 256
 
 # Families of the common languages; a language not listed is a family of its own.
 FAMILIES = {
@@ -132,26 +134,29 @@ def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 300.0, steps: int = 1
 
     Classes weigh the same whatever their sizes.
     """
-    scale = 1 / np.sqrt(x.mean(0) + 1e-5)
-    z = np.hstack([x * scale * 0.2, np.ones((len(x), 1), np.float32)]).astype(np.float64)
-    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)) * cost
-    v = np.ones(z.shape[1])
+    scale = (0.2 / np.sqrt(x.mean(0) + 1e-5)).astype(np.float32)
+    z = np.empty((len(x), x.shape[1] + 1), np.float32)
+    np.multiply(x, scale, out=z[:, :-1])
+    z[:, -1] = 1
+    y = y.astype(np.float32)
+    weight = (np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)) * cost).astype(np.float32)
+    v = np.ones(z.shape[1], np.float32)
     for _ in range(20):
         v = z.T @ (weight * (z @ v))
         v /= np.linalg.norm(v) or 1
     step = 1 / (1 + 2 * 1.1 * np.linalg.norm(z.T @ (weight * (z @ v))))
-    w = old = np.zeros(z.shape[1])
+    w = old = np.zeros(z.shape[1], np.float32)
     for k in range(steps):
-        at = w + k / (k + 3) * (w - old)
+        at = w + np.float32(k / (k + 3)) * (w - old)
         slack = np.maximum(0, 1 - y * (z @ at))
-        old, w = w, at - step * (at - 2 * z.T @ (weight * y * slack))
-    return w[:-1] * scale * 0.2, float(w[-1])
+        old, w = w, at - np.float32(step) * (at - 2 * z.T @ (weight * y * slack))
+    return w[:-1] * scale, float(w[-1])
 
 
 def _featured(batches: Iterator[pa.RecordBatch], text: str, lang: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         column, langs = (batch.column(batch.schema.get_field_index(c)) for c in (text, lang))
-        for a, b, data, bounds in chunks(column):
+        for a, b, data, bounds in chunks(column, most=ROWS):
             x, _ = features(data, bounds)
             yield pa.RecordBatch.from_arrays([langs[a:b], pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["lang", "x"])
 
@@ -186,7 +191,7 @@ def _predict(batches: Iterator[pa.RecordBatch], shared, text: str, out: list[str
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         rest = [c for c, f in zip(batch.columns, batch.schema) if f.name in out]
-        for a, b, data, bounds in chunks(column):
+        for a, b, data, bounds in chunks(column, most=ROWS):
             x, letters = features(data, bounds)
             for i in np.flatnonzero(~letters):
                 letters[i] = any(c.isalpha() for c in (column[a + int(i)].as_py() or ""))

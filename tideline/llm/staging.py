@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +20,12 @@ __all__ = ["BitTable", "arrow_map", "bit_table", "staged"]
 def arrow_map(df: DataFrame, function, schema: T.StructType | str) -> DataFrame:
     """df.mapInArrow, with this package at hand in the workers."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(partial(_run, function=function), schema)
+
+
+def _run(batches: Iterator[pa.RecordBatch], function) -> Iterator[pa.RecordBatch]:
+    yield from function(batches)
+    pa.default_memory_pool().release_unused()  # workers are kept between tasks
 
 
 class BitTable:
