@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grid import LOWER, U64, alnum_or_high, chunks, row_of, shingle_at, word_hashes
-from .staging import arrow_map, bit_table, staged
+from .grid import LOWER, alnum_or_high, chunks, row_of, shingle_at, word_hashes
+from .staging import BitTable, arrow_map, bit_table, staged
 
 WINDOW = 13
 #: Words of a shingle (fewer in windows that are shorter).
@@ -60,17 +60,17 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict(rows, pa.schema([("item_id", ids.type), ("at", pa.int32()), ("len", pa.int32()), ("k", pa.int32()), ("words", pa.string()), ("shingles", pa.list_(pa.int64()))]))
 
 
-def _passing(h: np.ndarray, wb: np.ndarray, k: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _passing(h: np.ndarray, wb: np.ndarray, k: int, table: BitTable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, row and first word of the k-word shingles that the bit table holds."""
     row = row_of(wb)
     at = np.flatnonzero(np.arange(len(h)) + k <= wb[1:][row])
     x = shingle_at(h, at, k)
-    hit = table[(x >> U64(64 - BITS)).astype(np.int64)]
+    hit = table.test(x)
     return x[hit], row[at[hit]], at[hit]
 
 
 def _count(batches: Iterator[pa.RecordBatch], shared, ks: list[int]) -> Iterator[pa.RecordBatch]:
-    table = shared.value.unpacked()
+    table = shared.value
     for batch in batches:
         for _, _, data, bounds in chunks(batch.column(0)):
             _, h, _, _, wb = _words(data, bounds)
@@ -79,7 +79,7 @@ def _count(batches: Iterator[pa.RecordBatch], shared, ks: list[int]) -> Iterator
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], shared, ks: list[int], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    table = shared.value.unpacked()
+    table = shared.value
     for batch in batches:
         for a, b, data, bounds in chunks(batch.column(batch.num_columns - 1)):
             low, h, starts, ends, wb = _words(data, bounds)

@@ -133,14 +133,14 @@ def _verify(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator
 
 def _crossing(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """The prefixes' tokens that the bit table holds, with their places."""
-    table = shared.value.unpacked()
+    table = shared.value
     for batch in batches:
         prefix = batch.column(batch.num_columns - 1)
         values = prefix.flatten().to_numpy(zero_copy_only=False)
         size = np.diff(prefix.offsets.to_numpy())
         row = np.repeat(np.arange(batch.num_rows), size)
         pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-        hit = np.flatnonzero(table[(values.view(U64) >> U64(64 - BITS)).astype(np.int64)])
+        hit = np.flatnonzero(table.test(values.view(U64)))
         yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row[hit])) for c in batch.columns[:-1]), pa.array(values[hit]), pa.array(pos[hit].astype(np.int32))], [*batch.schema.names[:-1], "h", "pos"])
 
 

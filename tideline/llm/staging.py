@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 from functools import partial
 
@@ -25,7 +28,11 @@ def arrow_map(df: DataFrame, function, schema: T.StructType | str) -> DataFrame:
 
 def _run(batches: Iterator[pa.RecordBatch], function) -> Iterator[pa.RecordBatch]:
     yield from function(batches)
-    pa.default_memory_pool().release_unused()  # workers are kept between tasks
+    # workers are kept between tasks; what this one has freed goes back to the system
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 class BitTable:
@@ -34,9 +41,6 @@ class BitTable:
     def __init__(self, bits: int, packed: bytes):
         self.bits, self.packed = bits, packed
 
-    def unpacked(self) -> np.ndarray:
-        return np.unpackbits(np.frombuffer(self.packed, np.uint8), bitorder="little").astype(bool)
-
     def test(self, hashes: np.ndarray) -> np.ndarray:
         at = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         return (np.frombuffer(self.packed, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
