@@ -6,10 +6,13 @@ the corpus; here the suffixes sorted are those at anchors.  In every string of
 ``length`` bytes the position whose gram of ``gram`` bytes has the least hash is
 an anchor, so equal strings have an anchor at the same place.
 
-1. Anchors' grams are counted; those that occur once are done with.  A bit
-   table of fixed size (``BITS``) holds the others.
-2. Each remaining anchor gives a context: the bytes before and after it that
-   a string around it can reach.  A task merges its equal contexts.
+1. An anchor's context is the bytes before and after its gram that a string
+   around it can reach.  Grams are counted, with the least and the greatest
+   hash of their contexts.  Those that occur once are done with.  Where all
+   contexts of a gram are equal every string around it repeats, and no bytes
+   need to move.  Bit tables of fixed size (``BITS``) hold the other two kinds.
+2. The anchors of grams with different contexts send their contexts' bytes.  A
+   task merges its equal contexts.
 3. Sampled splitters range-partition the contexts by their leading gram, so
    equal grams share a bucket and no match crosses a boundary.  Each bucket is
    sorted by multikey quicksort (8 bytes a character), forwards from the anchor
@@ -109,11 +112,44 @@ def _unique_anchors(column: pa.Array, length: int, gram: int):
         yield data, bounds, at[fresh], h[fresh], piece[fresh], row[fresh], place[fresh]
 
 
+def _reach(column_bounds: np.ndarray, row: np.ndarray, place: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Position in the column's bytes, and start and end of the context."""
+    at = column_bounds[row] + place
+    return at, np.maximum(at - (length - gram), column_bounds[row]), np.minimum(at + length, column_bounds[row + 1])
+
+
+def _context_hashes(data: np.ndarray, at: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    base = int(start.min())
+    part = data[base : int(end.max())]
+    up, down = powers(len(part) + 1)
+    total = np.zeros(len(part) + 1, U64)
+    np.cumsum((part.astype(U64) + U64(1)) * up[: len(part)], out=total[1:])
+    return mix((total[end - base] - total[start - base]) * down[start - base]) ^ mix((at - start).astype(U64) * U64(1000003) + (end - at).astype(U64))
+
+
 def _grams(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Each gram with its count and the least and greatest hash of its contexts."""
+    for batch in batches:
+        data, bounds = text_buffer(batch.column(0))
+        for _, _, _, h, _, row, place in _unique_anchors(batch.column(0), length, gram):
+            if not len(h):
+                continue
+            c = _context_hashes(data, *_reach(bounds, row, place, length, gram)).view(np.int64)
+            order = np.argsort(h, kind="stable")
+            h, c = h[order], c[order]
+            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(np.diff(np.r_[first, len(h)])), pa.array(np.minimum.reduceat(c, first)), pa.array(np.maximum.reduceat(c, first))], ["h", "n", "x", "y"])
+
+
+def _whole(batches: Iterator[pa.RecordBatch], shared, length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """All that strings around an anchor cover, for grams that may have equal contexts only."""
     for batch in batches:
-        for *_, h, _, _, _ in _unique_anchors(batch.column(0), length, gram):
-            x, n = np.unique(h, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n)], ["h", "n"])
+        _, bounds = text_buffer(batch.column(2))
+        for _, _, _, h, _, row, place in _unique_anchors(batch.column(2), length, gram):
+            keep = shared.value.test(h)
+            h, row, place = h[keep], row[keep], place[keep]
+            at, start, end = _reach(bounds, row, place, length, gram)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(start - bounds[row]), pa.array(end - bounds[row])], ["h", "doc_id", "th", "s", "e"])
 
 
 def _gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -134,16 +170,8 @@ def _contexts(batches: Iterator[pa.RecordBatch], shared, length: int, gram: int)
             h, row, place = h[keep], row[keep], place[keep]
             if not len(h):
                 continue
-            at = all_bounds[row] + place
-            start = np.maximum(at - (length - gram), all_bounds[row])
-            end = np.minimum(at + length, all_bounds[row + 1])
-            # equal contexts, by hashes of their bytes
-            base = int(start.min())
-            part = data_all[base : int(end.max())]
-            up, down = powers(len(part) + 1)
-            total = np.zeros(len(part) + 1, U64)
-            np.cumsum((part.astype(U64) + U64(1)) * up[: len(part)], out=total[1:])
-            c = mix((total[end - base] - total[start - base]) * down[start - base]) ^ mix((at - start).astype(U64) * U64(1000003) + (end - at).astype(U64))
+            at, start, end = _reach(all_bounds, row, place, length, gram)
+            c = _context_hashes(data_all, at, start, end)
             order = np.lexsort((c, h))
             new = np.r_[True, (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])]
             first, cuts = order[new], np.r_[np.flatnonzero(new), len(order)]
@@ -209,7 +237,7 @@ def _bucket(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterat
     del held
     n = whole.num_rows
     reach = length - gram
-    after, a_size = _matrix(whole.column(1), length, False)
+    after, a_size = _matrix(whole.column(1), -(-length // 8) * 8, False)
     width = -(-reach // 8) * 8
     before, b_size = _matrix(whole.column(0), width, True)
     who = whole.column(2)
@@ -277,10 +305,14 @@ def remove(df: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "do
     """
     kind = df.schema[key].dataType.simpleString()
     docs = df.select(F.col(key).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    grams = staged(arrow_map(docs.select("t"), partial(_grams, length=length, gram=gram), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "grams")
-    found = arrow_map(docs, partial(_contexts, shared=bit_table(grams, "h", BITS), length=length, gram=gram), f"before binary, after binary, who array<struct<doc_id:{kind},th:bigint,at:bigint>>")
+    counts = arrow_map(docs.select("t"), partial(_grams, length=length, gram=gram), "h long, n long, x long, y long").groupBy("h").agg(F.sum("n").alias("n"), F.min("x").alias("x"), F.max("y").alias("y")).filter("n > 1")
+    grams = staged(counts.select("h", (F.col("x") == F.col("y")).alias("alike")), "grams")
+    mixed, alike = grams.filter("not alike"), grams.filter("alike").select("h")
+    found = arrow_map(docs, partial(_contexts, shared=bit_table(mixed, "h", BITS), length=length, gram=gram), f"before binary, after binary, who array<struct<doc_id:{kind},th:bigint,at:bigint>>")
     sorted_in = found.repartitionByRange(F.substring("after", 1, gram))
     spans = arrow_map(sorted_in, partial(_bucket, length=length, gram=gram), f"doc_id {kind}, th long, s long, e long")
+    whole = arrow_map(docs, partial(_whole, shared=bit_table(alike, "h", BITS), length=length, gram=gram), f"h long, doc_id {kind}, th long, s long, e long").join(alike, "h").drop("h")
+    spans = spans.union(whole)
     spans = staged(spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e")).alias("found")), "spans")
     both = docs.alias("d").join(spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.th") == F.col("s.th")), "left").select("d.doc_id", "t", "found")
     out = arrow_map(both, _cut, f"doc_id {kind}, n_bytes long, removed array<struct<start:bigint,end:bigint>>, kept binary")
