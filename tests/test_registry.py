@@ -1,6 +1,7 @@
 """Every registered query of the core against its SQL in DuckDB, on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tideline.plans import registry
@@ -11,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    text = lambda v: None if v is None or v != v else f"{v:.6g}" if isinstance(v, float) else str(v)
+    text = lambda v: None if v is None or v is pd.NA or v != v else f"{v:.6g}" if isinstance(v, float) else str(v)
     return sorted((tuple(map(text, r)) for r in frame.astype(object).itertuples(index=False, name=None)), key=repr)
 
 
