@@ -110,6 +110,29 @@ def test_jaccard(docs, empty, texts):
     assert jaccard.classes(empty, 4, 85).count() == 0
 
 
+def test_jaccard_near_the_threshold(spark):
+    """Copies with more and more edits, so that many pairs lie just above or below the similarity asked for."""
+    rng = random.Random(11)
+    texts = []
+    for n in (12, 40, 90, 300, 1500):
+        words = sentence(rng, n).split()
+        for edits in range(9):
+            copy = list(words)
+            for at in rng.sample(range(n), min(n, edits * max(1, n // 80))):
+                copy[at] = sentence(rng, 1)
+            texts.append(" ".join(copy))
+    for words, percent in ((4, 85), (5, 80)):
+        sets = [{tuple(w[i : i + words]) for i in range(len(w) - words + 1)} for w in (t.split() for t in texts)]
+        root = list(range(len(texts)))
+        linked = [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+        for _ in texts:
+            for i, j in linked:
+                root[i] = root[j] = min(root[i], root[j])
+        assert len(set(root)) not in (5, len(texts))  # some pairs link and some of the same text do not
+        got = jaccard.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), words, percent).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(root))
+
+
 def test_sharding(docs, empty, texts):
     rows = shards.assign(docs, 4).collect()
     assert len(rows) == len(texts) + 1

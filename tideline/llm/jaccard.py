@@ -19,7 +19,10 @@ pivot (the set whose shingles are the most frequent, as the original of many
 near copies is) are verified and linked, and the join then leaves out pairs that are
 in one component already, so a group of thousands of near copies is a star,
 not all its pairs.  Lists whose sets are all in one component are dropped.
-Every link is verified on the whole sets.
+Every link is verified on the whole sets.  Before the texts are moved for that,
+pairs are left out by parity bitmaps: each set has PARITY bits, one flipped for
+every shingle, and two sets differ in at least as many shingles as their bitmaps
+in bits, so no link is lost.
 
 Null text, empty text and texts without words have no set and link with
 nothing.  Repeated rows share their class; rows are told apart by a number
@@ -48,6 +51,8 @@ FREQUENT = 1_000_000
 #: Hashes counted at a time in a task.
 COUNTED = 4_000_000
 BITS, DOC_BITS = 26, 24
+#: Bits of a set's parity bitmap.
+PARITY = 2048
 _WORD = not_space()
 
 
@@ -83,7 +88,7 @@ def _count(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
 
 def _prefixes(batches: Iterator[pa.RecordBatch], shared, k: int, percent: int) -> Iterator[pa.RecordBatch]:
     known, freq = (np.frombuffer(x, t) for x, t in zip(shared.value, (U64, np.int64)))
-    seeds = mix(np.arange(1, BANDS * BAND_ROWS + 3, dtype=U64) * U64(0x9E3779B97F4A7C15))
+    seeds = mix(np.arange(1, BANDS * BAND_ROWS + 4, dtype=U64) * U64(0x9E3779B97F4A7C15))
     for batch in batches:
         for a, b, data, bounds in chunks(batch.column(batch.num_columns - 1)):
             x, sb = _sets(data, bounds, k)
@@ -93,6 +98,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], shared, k: int, percent: int) -
             digests, bands = [zero.copy(), zero.copy()], [zero.copy() for _ in range(BANDS)]
             prefix, pb = np.zeros(0, U64), np.zeros(b - a + 1, np.int64)
             central = np.zeros(b - a)
+            parity = np.zeros((b - a) * (PARITY // 64), U64)
             if len(some):
                 for j in range(2):
                     digests[j][some] = np.add.reduceat(mix(x ^ seeds[j]), sb[some])
@@ -100,6 +106,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch], shared, k: int, percent: int) -
                     rows = [np.minimum.reduceat(mix(x ^ seeds[2 + j * BAND_ROWS + i]), sb[some]) for i in range(BAND_ROWS)]
                     bands[j][some] = mix(rows[0] + mix(rows[1] + mix(rows[2] + U64(j))))
                 row = np.repeat(np.arange(b - a), n)
+                bit = mix(x ^ seeds[-1]) % U64(PARITY)
+                np.bitwise_xor.at(parity, row * (PARITY // 64) + (bit >> U64(6)).astype(np.int64), U64(1) << (bit & U64(63)))
                 f = np.zeros(len(x), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, x), len(known) - 1)
@@ -109,8 +117,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch], shared, k: int, percent: int) -
                 size = np.minimum(n, n + (-percent * n) // 100 + 2)  # e + 2
                 prefix = x[order][np.arange(len(x)) - sb[row] < size[row]]
                 pb = np.concatenate([[0], np.cumsum(size)])
-            cols = [pa.array(n.astype(np.int64)), pa.array(central), *(pa.array(d.view(np.int64)) for d in digests), packed(np.stack(bands, 1).reshape(-1).view(np.int64), np.arange(b - a + 1) * BANDS, pa.int64()), packed(prefix.view(np.int64), pb, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns[:-1]), *cols], [*batch.schema.names[:-1], "n", "central", "d1", "d2", "bands", "prefix"])
+            cols = [pa.array(n.astype(np.int64)), pa.array(central), *(pa.array(d.view(np.int64)) for d in digests), packed(np.stack(bands, 1).reshape(-1).view(np.int64), np.arange(b - a + 1) * BANDS, pa.int64()), packed(prefix.view(np.int64), pb, pa.int64()), packed(parity.view(np.int64), np.arange(b - a + 1) * (PARITY // 64), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns[:-1]), *cols], [*batch.schema.names[:-1], "n", "central", "d1", "d2", "bands", "prefix", "parity"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -171,9 +179,19 @@ def _missing(n: str, percent: int):
     return F.col(n) - F.ceil(F.col(n) * percent / F.lit(100)).cast("long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The linked pairs of (a, b); only the texts of sets in a pair are moved."""
-    pairs = staged(pairs, "pairs")
+def _possible(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs of (a, b) whose parity bitmaps differ in no more bits than linked sets of their sizes in shingles."""
+    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    maps = staged(wanted.join(rows.select(F.col("row").alias("sid"), "n", "parity"), "sid"), "parities")
+    of = lambda x: maps.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
+    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    # s shingles in both sets together, of which linked sets have percent * s / (100 + percent) in common or more
+    return pairs.join(of("a"), "a").join(of("b"), "b").filter(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The linked pairs of (a, b); only the texts of sets in a possible pair are moved."""
+    pairs = staged(_possible(staged(pairs, "pairs"), rows, percent), "possible")
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(sets.select("sid", "doc_id", "th"), "sid")
     wanted = staged(wanted, "wanted")
     key = F.xxhash64("doc_id", "th").alias("k")
@@ -190,7 +208,7 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id
     shared = _frequencies(docs.select("t"), words)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("t").alias("th"), "t")
-    rows = staged(arrow_map(rows, partial(_prefixes, shared=shared, k=words, percent=percent), f"row long, doc_id {kind}, th long, n long, central double, d1 long, d2 long, bands array<bigint>, prefix array<bigint>"), "sets")
+    rows = staged(arrow_map(rows, partial(_prefixes, shared=shared, k=words, percent=percent), f"row long, doc_id {kind}, th long, n long, central double, d1 long, d2 long, bands array<bigint>, prefix array<bigint>, parity array<bigint>"), "sets")
     some = rows.filter("n > 0")
     sets = staged(some.groupBy("d1", "d2").agg(F.min(F.struct("row", "doc_id", "th", "n", "central", "bands")).alias("r"), F.min("doc_id").alias("least")).select("d1", "d2", F.col("r.row").alias("sid"), "r.doc_id", "r.th", "r.n", "r.central", "r.bands", "least"), "classes")
 
@@ -199,7 +217,7 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id
     pivots = buckets.groupBy("band", "key").agg(F.max(F.struct("central", "n", "sid")).alias("p"), F.count("*").alias("m")).filter("m > 1").select("band", "key", F.col("p.sid").alias("b"), F.col("p.n").alias("nb"))
     stars = buckets.join(pivots, ["band", "key"]).filter((F.col("sid") != F.col("b")) & (100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")))
     stars = stars.groupBy(F.col("sid").alias("a"), "b").agg(F.count("*").alias("m")).groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("m", "b")), asc=False), 1, PIVOTS).alias("p"))  # a set has BANDS pivots at most
-    first = _verified(stars.select("a", F.explode("p.b").alias("b")), sets, docs, words, percent)
+    first = _verified(stars.select("a", F.explode("p.b").alias("b")), sets, rows, docs, words, percent)
     roots = staged(components(first), "roots")
 
     # The exact join, between components only.
@@ -224,7 +242,7 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id
     early = (F.col("x.pos") <= F.col("x.n") - common) & (F.col("y.pos") <= F.col("y.n") - common)  # so its first one stands here
     heavy = large.alias("x").join(large.alias("y"), (F.col("x.h") == F.col("y.h")) & near & (F.greatest("x.n", "y.n") > boundary) & early)
     heavy = heavy.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
-    links = first.union(_verified(light.union(heavy).distinct(), sets, docs, words, percent))
+    links = first.union(_verified(light.union(heavy).distinct(), sets, rows, docs, words, percent))
 
     roots = components(links)
     labels = sets.join(roots, sets["sid"] == roots["node"], "left").select("d1", "d2", F.coalesce("root", "sid").alias("comp"), "least")
