@@ -202,6 +202,21 @@ def test_embeddings(spark):
     assert out[210]["component_id"] == 0 and not out[210]["kept"]
 
 
+@pytest.mark.parametrize("blocks", [2, 3, 4])
+def test_embeddings_near_the_threshold(spark, blocks):
+    rng = np.random.default_rng(7)
+    a, b = rng.standard_normal((2, 600, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = rng.uniform(0.9501, 0.955, (600, 1))
+    v = np.concatenate([a, c * a + np.sqrt(1 - c * c) * b])
+    out = caps.links(spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<double>"), blocks=blocks).collect()
+    true = (v @ v.T >= 0.95).sum(1) - 1
+    got = np.array([r["n_links"] for r in sorted(out)])
+    assert (got <= true).all() and got.sum() >= 0.98 * true.sum() >= 0.98 * 1200
+
+
 def test_pii(spark, empty):
     rows = [(0, None), (1, ""), (2, "mail a@b.c_d@e.f.com now"), (3, "ip 10.0.0.1 or 300.1.1.1"), (4, "card 4111 1111 1111 1111, not 4111 1111 1111 1112"), (5, "call +1 (202) 555-0143 or +123"), (6, "9 " * 3000), (7, "x" * 20000 + "@")]
     out = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
