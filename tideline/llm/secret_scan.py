@@ -2,9 +2,9 @@
 
 The patterns (assignments, access keys, hex runs) give the base spans.  The
 method adds spans of kind ``random``: runs of key-like characters that a
-byte-level BPE vocabulary encodes poorly (few characters a token), after known
-digests, UUIDs, numbers and word-like identifiers are excluded and where no
-base span lies.
+byte-level BPE vocabulary encodes poorly (few characters a token), where no base
+span lies.  Known digests, UUIDs, numbers and identifiers whose words by
+themselves are encoded well are excluded.
 
 Null text counts as empty and has no spans.  Spans are in code points, end
 exclusive.  Repeated rows give repeated results.
@@ -37,7 +37,8 @@ MOST_EFFICIENT = 2.0
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 _UUID = re.compile(r"[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}", re.I)
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
-_WORDS = re.compile(r"[A-Za-z]?[a-z]*|[A-Z]+|[0-9]{1,4}")
+_NAME = re.compile(r"(?:[A-Za-z]*|[0-9]{1,4})(?:[-_/+=](?:[A-Za-z]*|[0-9]{1,4}))*")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
@@ -53,13 +54,16 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
-def excluded(run: str) -> bool:
-    """Known digests, UUIDs, numbers and identifiers made of words."""
-    if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
+def excluded(run: str, count) -> bool:
+    """Known digests, UUIDs, numbers and identifiers made of words that count, the tokens of a string, finds efficient."""
+    if not any(c.isalpha() for c in run):
         return True
     if _HEX.fullmatch(run) and len(run) in DIGEST_LENGTHS or _UUID.fullmatch(run):
         return True
-    return all(_WORDS.fullmatch(p) for p in re.split(r"[-_/+=]", run))
+    if not _NAME.fullmatch(run):
+        return False
+    words = _WORD.findall(run)
+    return sum(map(len, words)) > MOST_EFFICIENT * sum(map(count, words))
 
 
 def random_spans(text: str, base: list[tuple[int, int, str]], count) -> list[tuple[int, int, str]]:
@@ -69,9 +73,9 @@ def random_spans(text: str, base: list[tuple[int, int, str]], count) -> list[tup
         start, end = m.span()
         while k < len(base) and max(e for _, e, _ in base[k : k + 1]) <= start:
             k += 1
-        if any(s < end and start < e for s, e, _ in base[k : k + 8]) or excluded(run := m[0]):
+        if any(s < end and start < e for s, e, _ in base[k : k + 8]):
             continue
-        if len(run) <= MOST_EFFICIENT * count(run):
+        if len(run := m[0]) <= MOST_EFFICIENT * count(run) and not excluded(run, count):
             found.append((start, end, "random"))
     return found
 
