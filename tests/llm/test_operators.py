@@ -182,6 +182,29 @@ def test_main_text():
     assert main_text.main_text("<div>" * 5000 + "deep") == "deep"
 
 
+LINE = "A paragraph of the article, long enough, with some commas, to count as one of them."
+
+
+@pytest.mark.parametrize("label", ["content has-sidebar", "entry-content comments-open", "post-body social-share", "content-sidebar-wrap", "layout with-sidebar"])
+def test_main_text_keeps_labelled_content(label):
+    assert main_text.main_text(f"<body><div class='{label}'><p>{LINE}<p>{LINE}</div><div class=footer>foot</div>") == f"{LINE}\n\n{LINE}"
+
+
+def test_main_text_keeps_headings_and_references():
+    references = "<ul><li><a href=a>First reference</a><li><a href=b>Second reference</a></ul>"
+    for tag in ("header class=entry-header", "header class=header", "div class=entry-header"):
+        page = f"<body><article><{tag}><h1>Heading</h1></{tag.split()[0]}><p>{LINE}</p>{references}</article>"
+        assert main_text.main_text(page) == f"Heading\n\n{LINE}\n\nFirst reference\n\nSecond reference"
+    assert main_text.main_text(f"<body><div><p>{LINE}</p><p>{LINE}</p>{references}</div>").endswith("Second reference")
+
+
+@pytest.mark.parametrize("label", ["nav", "main-nav", "post-comments", "comments", "content sidebar", "entry-footer", "related-links", "cookie-notice", "article-share"])
+def test_main_text_cuts_labelled_rest(label):
+    rest = f"<div class='{label}'><p>{LINE} <a href=a>{LINE}</a></div>"
+    for page in (f"<body><article><p>{LINE}</p>{rest}</article>", f"<body><article><p>{LINE}</p></article>{rest}"):
+        assert main_text.main_text(page) == LINE
+
+
 def test_repeats(docs, empty, texts):
     every = [t or "" for t in texts]
     counts = collections.Counter()

@@ -2,7 +2,10 @@
 
 The page is read into a tree (unclosed tags are closed as browsers do in the
 plain cases).  Menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments are cut by tag, role and class.  Paragraphs
+scripts, styles and reader comments are cut by tag, role and class; a class that
+also names content is cut only by a whole name or as "main-nav" is, and headers
+within article or main stay.  Lists of links stay within the article; where the
+whole body is kept, those without a label are taken for menus.  Paragraphs
 earn points by their length and commas and pass them to their ancestors,
 halved and thinned further up; a container's points are discounted by its link
 density.  The best container is kept, and those of its siblings that score well
@@ -38,6 +41,8 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 NEGATIVE = re.compile(r"(?<![a-z])(ads?|adverts?|advertisement|advertising|sponsor(ed)?|promo(tion)?|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|comments?|disqus|replies|respond|side-?bar|menu|nav(bar|igation)?|breadcrumbs?|foot(er)?|masthead|head(er)?-?(bar|wrap|top)?|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|widget|pagination|pager|toolbar|skip)(?![a-z])")
 POSITIVE = re.compile(r"(?<![a-z])(article|body|content|entry|main|page|post|story|text|blog|hentry)(?![a-z])")
 
+_HAS = re.compile(r"(?<![a-z])(has|have|with|without|no)-[\w-]*")
+_HEAD = frozenset(("head", "header"))
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?""", re.S)
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _SPACE = re.compile(r"\s+")
@@ -46,6 +51,19 @@ _PARAGRAPH = frozenset("p pre td blockquote dd li div section".split())
 _BASE = {"article": 10, "main": 10, "section": 3, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "form": -3, "ul": -3, "ol": -3, "dl": -3, "li": -3, "address": -3}
 
 
+def unwanted(label: str, positive: bool, in_article: bool) -> bool:
+    """Do the classes and ids name something to cut?"""
+    names = _HAS.sub("", label).split()
+    found = [[m for m in NEGATIVE.finditer(t) if not (in_article and m[0] in _HEAD)] for t in names]
+    if not positive:
+        return any(found)
+    if any(m[0] == t for t, ms in zip(names, found) for m in ms):
+        return True
+    if not all(NEGATIVE.search(t) for t in names if POSITIVE.search(t)):
+        return False
+    return any(ms and ms[-1].end() == len(t) and ms[-1][0] not in _HEAD for t, ms in zip(names, found))
+
+
 class Page:
     """The tree: parent, tag, cut flag and class weight of each node, and its pieces of text in page order."""
 
@@ -113,7 +131,7 @@ class Page:
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
         label = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", found.get("class", "") + " " + found.get("id", "")).lower()
         positive = bool(POSITIVE.search(label)) or "articlebody" in found.get("itemprop", "").lower()
-        negative = bool(NEGATIVE.search(label))
+        negative = unwanted(label, positive, bool(opened["article"] or opened["main"]))
         cut |= found.get("role", "").lower() in CUT_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
         cut |= negative and name not in ("html", "body", "article", "main")
         return cut, 25 * positive - 25 * negative
@@ -167,11 +185,12 @@ class Page:
 
     def _blocks(self, keep: set[int], size: list[int], density) -> str:
         n = len(self.tag)
-        inside = [False] * n
+        inside, article = [False] * n, [False] * n
         block = list(range(n))
         for i in range(n):
             p = self.parent[i]
-            menu = self.tag[i] in ("ul", "ol", "div", "table", "section") and density(i) > 0.5 and i not in keep
+            article[i] = p >= 0 and article[p] or self.tag[i] in ("article", "main") or i in keep and self.tag[i] not in ("#", "html", "body")
+            menu = not article[i] and self.tag[i] in ("ul", "ol", "div", "table", "section") and density(i) > 0.5 and i not in keep
             inside[i] = not self.cut[i] and (i in keep or p >= 0 and inside[p] and not menu)
             if p >= 0 and self.tag[i] not in BLOCK:
                 block[i] = block[p]
