@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tideline.functions import aggregates, arrays, text
@@ -48,6 +49,17 @@ def test_tree_orders(spark):
     assert [r["node"] for r in out.orderBy("level", "path").collect()] == [1, 2, 3, 4]
 
 
+def test_tree_of_many_levels(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(104)], "parent long, child long")
+    root = spark.createDataFrame([(0,)], "child long")
+    assert sorted((r["node"], r["level"]) for r in expand.iterate_tree(edges, root).collect()) == [(i, i) for i in range(105)]
+    with pytest.raises(ValueError, match="deeper"):
+        expand.iterate_tree(edges, root, depth=3)
+    assert expand.iterate_tree(edges.filter("child <= 3"), root, depth=3).count() == 4
+    with pytest.raises(ValueError, match="below itself"):
+        expand.iterate_tree(edges.filter("child <= 3").union(spark.createDataFrame([(3, 0)], edges.schema)), root)
+
+
 def test_splits(spark):
     df = spark.createDataFrame([("",), ("a...b",), ("abc",), ("..",), (".a",), ("a.",)], "s string")
     got = {r["s"]: (r["i"], r["e"]) for r in df.select("s", text.split_sep_by_seq(F.col("s"), ".").alias("i"), text.split_end_by_seq(F.col("s"), ".").alias("e")).collect()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,19 +19,26 @@ def separated(df: DataFrame, items: Column, separator: Column, ends: bool = Fals
     return concat_map(df, each, value, at)
 
 
-def iterate_tree(edges: DataFrame, roots: DataFrame, parent: str = "parent", child: str = "child", depth: int = 100) -> DataFrame:
+def iterate_tree(edges: DataFrame, roots: DataFrame, parent: str = "parent", child: str = "child", depth: int | None = None) -> DataFrame:
     """(node, level, path) of everything reachable in a tree, by one join a level.
 
     Depth first is the order of path, breadth first that of (level, path).
-    Levels are staged; the loop ends with the last level or at depth.
+    Levels are staged; the loop ends with the last level.  Levels below depth, if
+    given, and nodes below themselves raise ValueError.
     """
     from ..staging import staged
 
     level = staged(roots.select(F.col(child).alias("node"), F.lit(0).alias("level"), F.array(F.col(child)).alias("path")), "level")
     out = level
-    for k in range(1, depth + 1):
-        level = staged(level.join(edges, level["node"] == edges[parent]).select(F.col(child).alias("node"), F.lit(k).alias("level"), F.concat("path", F.array(F.col(child))).alias("path")), "level")
-        if level.isEmpty():
-            break
+    for k in count(1):
+        again = F.array_contains("path", F.col(child)).alias("again")
+        level = staged(level.join(edges, level["node"] == edges[parent]).select(F.col(child).alias("node"), F.lit(k).alias("level"), F.concat("path", F.array(F.col(child))).alias("path"), again), "level")
+        n, cycle = level.agg(F.count("*"), F.max("again")).first()
+        if not n:
+            return out
+        if cycle or depth is not None and k > depth:
+            raise ValueError("a node is below itself" if cycle else f"{n} nodes or more are deeper than {depth} levels")
+        level = level.drop("again")
         out = out.unionByName(level)
-    return out
+        if k % 50 == 0:  # plans stay small
+            out = staged(out, "levels")
