@@ -175,6 +175,18 @@ def test_language(spark, empty):
     assert lang_id.predict(empty, lang_id.fit(empty)).count() == 0
 
 
+def test_language_learns_every_language(spark):
+    rng = random.Random(2)
+    langs = ["en"] * 60 + ["de"] * 50 + ["fr"] * 40 + ["es"] * 12
+    letters = {"en": "aeth", "de": "uzck", "fr": "oiqx", "es": "ljvn"}
+    rows = [(i, " ".join("".join(rng.choice(letters[v]) for _ in range(5)) for _ in range(30)), v) for i, v in enumerate(langs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, other = (lang_id.fit(d, most_rows=20) for d in (df.coalesce(1), df.orderBy(F.desc("doc_id")).repartition(5)))
+    assert one.languages == other.languages == ["de", "en", "es", "fr"]
+    assert np.allclose(one.weights, other.weights, atol=1e-3 * np.abs(one.weights).max())
+    assert all(r["lang_pred"] == langs[r["doc_id"]] for r in lang_id.predict(df, one).collect())
+
+
 def test_main_text():
     page = "<html><head><title>t</title></head><body><nav><a href=x>menu</a></nav><div class='cookie-notice'>We, use, cookies, a lot of them</div><article><h1>Head &amp; line</h1><p>First   paragraph, long enough to count as one.<p>Second paragraph <b>bold<br>text</b>, also long enough.<form>Subscribe</form><script>x<y</script></article><section id=comments><p>A reader says, at length, that, this, is, good, indeed.</section><footer>foot</footer>"
     assert main_text.main_text(page) == "Head & line\n\nFirst paragraph, long enough to count as one.\n\nSecond paragraph bold text, also long enough."

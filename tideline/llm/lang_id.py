@@ -4,9 +4,9 @@ First the language family, then one-versus-one linear support vector machines
 among the languages of that family.  Features are the shares of hashed letter
 bigrams and trigrams, computed with numpy over the whole text.
 
-The model is fitted on a bounded sample of labelled rows (``per_language`` and
-``most_rows``), drawn by a hash of the row's id, so it is the same for the same
-table.  Counting the languages covers all rows.  Null text and texts without a
+The model is fitted on a sample of labelled rows of every language
+(``per_language`` and ``most_rows``, but ``FEWEST`` rows of each): the first by a
+hash of the row's id, so it is the same for the same table.  Counting the languages covers all rows.  Null text and texts without a
 letter give ``und`` with score 0.  Without labelled rows all is ``und``.
 """
 
@@ -19,7 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,8 +28,10 @@ from .staging import arrow_map
 
 BITS = 11
 SIZE = 2 << BITS
-#: Rows fitted on, at most: of each language (as expected by its count) and in all.
+#: Rows fitted on, at most: of each language and in all.
 PER_LANGUAGE, MOST_ROWS = 500, 4000
+#: Rows of each language, if it has them, even if that makes more than MOST_ROWS.
+FEWEST = 10
 UNKNOWN = "und"
 #: Rows whose features are held at a time (SIZE counts each).
 ROWS = 256
@@ -162,18 +164,20 @@ def _featured(batches: Iterator[pa.RecordBatch], text: str, lang: str) -> Iterat
 
 
 def fit(df: DataFrame, train: Column | None = None, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS) -> Model:
-    """A model from at most most_rows labelled rows (and twice per_language of a language, as drawn by the hash of the key)."""
+    """A model from the labelled rows first by the hash of the key: at most per_language of a language and most_rows in all, but FEWEST of each."""
     labelled = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (train if train is not None else F.lit(True)))
-    counts = {r["l"]: r["n"] for r in labelled.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(most_rows // 10).collect()}
+    counts = labelled.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).collect()
     if not counts:
         return Model([], [], [], np.zeros((0, SIZE)), np.zeros(0))
-    each = min(per_language, most_rows // len(counts))
+    each = min(per_language, max(FEWEST, most_rows // len(counts)))
+    bound = lambda n: int(min(1.0, (2 * each + 40) / n) * (1 << 30)) + 1  # noqa: E731  # each rows lie below it, all but surely
+    bounds = df.sparkSession.createDataFrame([(r["l"], bound(r["n"])) for r in counts], "l string, bound long")
     draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("fit")), F.lit(1 << 30))
-    wanted = F.lit(False)
-    for value, n in counts.items():
-        wanted = wanted | ((F.col(lang) == value) & (draw < int(min(1.0, each / n) * (1 << 30)) + 1))
-    sample = arrow_map(labelled.filter(wanted).select(F.col(text).alias("text"), F.col(lang).alias("lang")), partial(_featured, text="text", lang="lang"), "lang string, x binary")
-    rows = sample.limit(most_rows).toArrow()
+    drawn = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).alias("key"), draw.alias("draw"))
+    drawn = drawn.join(F.broadcast(bounds), F.col("lang") == F.col("l")).filter("draw < bound")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "key", "text"))
+    sample = arrow_map(drawn.withColumn("at", first).filter(F.col("at") <= each).select("text", "lang"), partial(_featured, text="text", lang="lang"), "lang string, x binary")
+    rows = sample.toArrow()
     langs = np.array(rows.column("lang").to_pylist(), object)
     x = np.array([np.frombuffer(v, np.float16) for v in rows.column("x").to_pylist()], np.float32).reshape(-1, SIZE)
     order = np.lexsort((x[:, :64].sum(1), langs.astype(str)))  # the fit does not depend on the order of arrival
