@@ -17,8 +17,16 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is not ``und`` (no text, or no letter)."""
-    found = lang_id.predict(docs.select(*COLUMNS), lang_id.fit(docs), keys=COLUMNS, lang="__lang", score="__score")
+    """Documents with a letter.
+
+    Only ``und`` is rejected, which is no text or no letter; which language is
+    found, and its score, reject nothing.  Without a labelled row to fit on, the
+    letters are looked for directly.
+    """
+    model = lang_id.fit(docs)
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    found = lang_id.predict(docs.select(*COLUMNS), model, keys=COLUMNS, lang="__lang", score="__score")
     return found.filter(F.col("__lang") != lang_id.UNKNOWN).select(*COLUMNS)
 
 

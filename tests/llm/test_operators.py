@@ -304,6 +304,14 @@ def test_masking(spark):
     assert sum("[SECRET]" in (r["text"] or "") for r in out) == 6
 
 
+def test_pipeline_without_labels(spark):
+    import corpus_pipeline
+
+    texts = [None, "", "123 !", "a text", "1 é", "日本"]
+    docs = spark.createDataFrame([(i, t, None, "s", 7) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.keep_known_language(spark, docs, "").collect()) == [3, 4, 5]
+
+
 def test_pipeline(spark):
     """run() against all its stages written plainly, none of them through an operator."""
     import corpus_pipeline
