@@ -477,7 +477,7 @@ def drop_interval(read, spark):
 
 @query(None)
 def fixed_sessions(read, spark):
-    """Sequential by nature; tests/test_sessions.py holds it against brute force."""
+    """Sequential by nature; tests/test_seq.py holds it against one fixture of written-out values."""
     return sessions.fixed_sessions(read("events").select("user_id", "ts", "event_id"), ["user_id"], "ts", "event_id", 6 * 3600).select("user_id", "event_id", "session")
 
 
