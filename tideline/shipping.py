@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import zipfile
@@ -12,6 +14,11 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+def _remove(name: str) -> None:
+    with contextlib.suppress(OSError):
+        os.remove(name)
+
+
 def ship(spark: SparkSession) -> None:
     """Adds the package's sources to the application's files, once."""
     context = spark.sparkContext
@@ -24,4 +31,5 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(top.rglob("*.py")):
             z.write(p, p.relative_to(top.parent))
     context.addPyFile(name)
+    atexit.register(_remove, name)
     _shipped.add(context.applicationId)
