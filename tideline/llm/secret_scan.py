@@ -2,19 +2,25 @@
 
 The patterns (assignments, access keys, hex runs) give the base spans.  The
 method adds spans of kind ``random``: runs of key-like characters that a
-byte-level BPE vocabulary encodes poorly (few characters a token), where no base
-span lies.  Known digests, UUIDs, numbers and identifiers whose words by
-themselves are encoded well are excluded.
+byte-level BPE vocabulary encodes poorly (few characters a token).  Runs of
+``LONG`` characters are tested, and from ``SHORT`` on those that mix digits with
+letters.  Excluded are known digests, UUIDs, numbers and identifiers whose words by
+themselves are encoded well; a run that an assignment to a secret's name holds
+is no known digest, whatever its length.  Other runs that touch a base span are
+left to it.
 
 Null text counts as empty and has no spans.  Spans are in code points, end
-exclusive.  Repeated rows give repeated results.
+exclusive.  Repeated rows give repeated results; texts of any length go whole,
+and only the keys and the text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +37,8 @@ KINDS = ("assign", "access", "hex", "random")
 LEAST_ASSIGNED, LEAST_ACCESS = 8, 16
 
 #: Runs that may be random: length, and at most so many characters a token.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+SHORT, LONG = 16, 20
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{SHORT},}}")
 MOST_EFFICIENT = 2.0
 # Lengths in hex digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
@@ -54,11 +61,13 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
-def excluded(run: str, count) -> bool:
-    """Known digests, UUIDs, numbers and identifiers made of words that count, the tokens of a string, finds efficient."""
+def excluded(run: str, count, assigned: bool = False) -> bool:
+    """Known digests (unless assigned), UUIDs, numbers and identifiers made of words that count, the tokens of a string, finds efficient."""
     if not any(c.isalpha() for c in run):
         return True
-    if _HEX.fullmatch(run) and len(run) in DIGEST_LENGTHS or _UUID.fullmatch(run):
+    if len(run) < LONG and not any(c.isdigit() for c in run):
+        return True
+    if not assigned and _HEX.fullmatch(run) and len(run) in DIGEST_LENGTHS or _UUID.fullmatch(run):
         return True
     if not _NAME.fullmatch(run):
         return False
@@ -68,14 +77,15 @@ def excluded(run: str, count) -> bool:
 
 def random_spans(text: str, base: list[tuple[int, int, str]], count) -> list[tuple[int, int, str]]:
     """count: tokens of a string."""
-    found, k = [], 0
+    found, starts = [], [s for s, _, _ in base]
+    ends = list(accumulate((e for _, e, _ in base), max))
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
-        while k < len(base) and max(e for _, e, _ in base[k : k + 1]) <= start:
-            k += 1
-        if any(s < end and start < e for s, e, _ in base[k : k + 8]):
+        first, after = bisect_right(ends, start), bisect_left(starts, end)  # base spans that may touch the run
+        assigned = any(s <= start and end <= e and kind == "assign" for s, e, kind in base[first:after])
+        if not assigned and any(s < end and start < e for s, e, _ in base[first:after]):
             continue
-        if len(run := m[0]) <= MOST_EFFICIENT * count(run) and not excluded(run, count):
+        if len(run := m[0]) <= MOST_EFFICIENT * count(run) and not excluded(run, count, assigned):
             found.append((start, end, "random"))
     return found
 
