@@ -3,13 +3,15 @@
 Law: ``bytes``.  Rows with the same text are a group and stay together, unless
 a group is larger than a shard's share; then it is cut into pieces by a hash of
 the row's id, since no balance exists with it whole (at most ``shards`` groups
-can be so large).  Groups fall into buckets by hash; in each bucket differencing
-runs in one task over the group sizes (``BUCKET`` groups, not rows), and gives
-``shards`` partial sums.  The buckets' partial partitions are combined on the
-driver in the same way: repeatedly the two of largest spread, oppositely ordered.
-
-Null text has no bytes (its size is 8) and is grouped with empty text.  Rows
-with equal text may be any number; equal sizes are ties broken by hash.  Slots
+can be so large).  Up to 2 * ``TOP`` groups are differenced in one task.  More
+fall into buckets by hash (of ``BUCKET`` at most, and enough of them for ``TOP``
+cells); differencing in each gives ``shards`` cells, and a cell is an item of the
+next level, so a heavy group, alone in its cell, meets enough lighter items
+there.  The driver sees no sizes but a count.
+
+Null text has no bytes (its size is 8) and is grouped with empty text; texts of
+any length count whole.  Rows with equal text may be any number; equal sizes are ties broken by hash.
+Only the key and the text are read, so other columns may have any names.  Slots
 count from 0 without gaps in each shard.
 """
 
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 from .staging import staged
 from ..shipping import ship
 
-#: Groups in a bucket, about; rows whose slots are counted in one task, about.
-BUCKET, SLOT_ROWS = 50_000, 100_000
+#: Items in a bucket, at most about; items differenced in one task at the top, about.
+BUCKET, TOP = 50_000, 20_000
+#: Rows whose slots are counted in one task, about.
+SLOT_ROWS = 100_000
 #: A group larger than a shard's share is cut into pieces of about this part of it.
 PIECE = 8
 
@@ -84,17 +88,35 @@ def difference(parts: Sequence[Sequence[tuple[int, object]]], shards: int) -> tu
 
 
 def _bucket(key: tuple, table: pa.Table, shards: int) -> pa.Table:
-    units, sizes = table.column("unit").to_pylist(), table.column("bytes").to_pylist()
-    order = sorted(range(len(units)), key=lambda i: (-sizes[i], units[i]))
-    sums, held = difference([[(sizes[i], units[i])] for i in order], shards)
+    """The items of a bucket and the cells that differencing puts them into."""
+    items, sizes = table.column("item").to_pylist(), table.column("bytes").to_pylist()
+    order = sorted(range(len(items)), key=lambda i: (-sizes[i], items[i]))
+    sums, held = difference([[(sizes[i], items[i])] for i in order], shards)
     cell = [j for j, us in enumerate(held) for _ in us]
-    unit = [u for us in held for u in us]
-    return pa.table({"bucket": pa.array([key[0].as_py()] * len(unit), pa.int64()), "unit": pa.array(unit, pa.string()), "cell": pa.array(cell, pa.int32()), "cell_bytes": pa.array([sums[j] for j in cell], pa.int64())})
+    item = [u for us in held for u in us]
+    return pa.table({"bucket": pa.array([key[0].as_py()] * len(item), pa.int64()), "item": pa.array(item, pa.string()), "cell": pa.array(cell, pa.int32()), "cell_bytes": pa.array([sums[j] for j in cell], pa.int64())})
+
+
+def _placed(units: DataFrame, shards: int) -> DataFrame:
+    """unit and shard, of (unit, bytes): level by level, cells becoming items."""
+    ship(units.sparkSession)
+    items = staged(units.select(F.col("unit").alias("item"), "bytes"), "units")
+    place = None
+    while True:
+        n = items.count()
+        buckets = 1 if n <= 2 * TOP else max(TOP // shards, -(-n // BUCKET))
+        dealt = items.withColumn("bucket", F.pmod(F.xxhash64("item", F.lit("bucket")), F.lit(buckets)))
+        step = staged(dealt.groupBy("bucket").applyInArrow(lambda key, table: _bucket(key, table, shards), "bucket long, item string, cell int, cell_bytes long"), "cells")
+        name = F.concat_ws(":", "bucket", "cell").alias("up")
+        place = step.select(F.col("item").alias("unit"), name, "cell") if place is None else place.join(step.select("item", name, "cell"), F.col("at") == F.col("item")).select("unit", "up", "cell")
+        if buckets == 1:
+            return place.select("unit", F.col("cell").alias("shard"))
+        place = place.select("unit", F.col("up").alias("at"))
+        items = staged(step.select(name, "cell_bytes").distinct().toDF("item", "bytes"), "items")
 
 
 def assign(df: DataFrame, shards: int = 24, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, size, text_crc32, shard and slot of every row."""
-    spark = df.sparkSession
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = staged(df.select(F.col(key).alias("doc_id"), (F.octet_length(whole) + 8).cast("long").alias("size"), F.crc32(whole.cast("binary")).alias("text_crc32"), F.xxhash64(whole).alias("h")), "rows")
     group = ("h", "text_crc32", "size")
@@ -108,17 +130,8 @@ def assign(df: DataFrame, shards: int = 24, text: str = "text", key: str = "doc_
     piece = F.pmod(F.xxhash64("doc_id", F.lit("piece")), pieces)
     unit = F.concat_ws(":", F.hex("h"), "text_crc32", "size", piece.cast("string"))
     rows = rows.withColumn("unit", unit)
-    buckets = max(1, -(-n // BUCKET))
-    units = rows.groupBy("unit").agg(F.sum("size").alias("bytes")).withColumn("bucket", F.pmod(F.xxhash64("unit", F.lit("bucket")), F.lit(buckets)))
-    ship(spark)
-    cells = staged(units.groupBy("bucket").applyInArrow(lambda key, table: _bucket(key, table, shards), "bucket long, unit string, cell int, cell_bytes long"), "cells")
-    # one sum for each bucket and cell: shards numbers for each BUCKET groups
-    parts: dict[int, list] = {}
-    for r in cells.select("bucket", "cell", "cell_bytes").distinct().collect():
-        parts.setdefault(r["bucket"], []).append((r["cell_bytes"], (r["bucket"], r["cell"])))
-    _, held = difference([sorted(parts[b], key=lambda c: (-c[0], c[1])) for b in sorted(parts)], shards)
-    places = spark.createDataFrame([(b, c, s) for s, at in enumerate(held) for b, c in at], "bucket long, cell int, shard int")
-    placed = rows.join(cells.join(places, ["bucket", "cell"]).select("unit", "shard"), "unit")
+    units = rows.groupBy("unit").agg(F.sum("size").alias("bytes"))
+    placed = rows.join(_placed(units, shards), "unit")
     subs = max(8, -(-n // (SLOT_ROWS * shards)) * 2)
     placed = placed.withColumn("sub", F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(subs)))
     before = placed.groupBy("shard", "sub").agg(F.count("*").alias("n"))
