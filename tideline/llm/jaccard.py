@@ -24,6 +24,9 @@ pairs are left out by parity bitmaps: each set has PARITY bits, one flipped for
 every shingle, and two sets differ in at least as many shingles as their bitmaps
 in bits, so no link is lost.
 
+``percent`` is 51 to 100: from one half down, sets of one and two shingles link by a
+single common one, which two-token subsets do not see.
+
 Null text, empty text and texts without words have no set and link with
 nothing.  Repeated rows share their class; rows are told apart by a number
 staged with them, so ids may repeat.  Only the key and the text are read.
@@ -204,6 +207,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, docs: DataFram
 
 def classes(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, n_shingles, component_id (smallest key reachable by links, itself included)."""
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be above 50 and at most 100")
     docs = df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     shared = _frequencies(docs.select("t"), words)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -228,7 +233,7 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id
     postings = staged(arrow_map(tokens.select("sid", "comp", "n", "prefix"), partial(_crossing, shared=bit_table(lists, "h", BITS)), "sid long, comp long, n long, h long, pos int"), "postings")
     usual = lists.agg(F.percentile_approx("m", 0.5)).first()[0] or 1
     # enumerating: (p + 1) p / 2 subsets; scanning: p lists of the usual length; p = e + 1
-    boundary = int(max(0, 2 * usual - 1) * 100 / (100 - percent))
+    boundary = int(max(0, 2 * usual - 1) * 100 / max(100 - percent, 1))
     small = postings.filter(F.col("n") <= boundary)
     two = small.alias("x").join(small.select("sid", F.col("h").alias("g"), F.col("pos").alias("q")), "sid").filter("pos < q")
     two = two.select("sid", "comp", "n", F.xxhash64("h", "g").alias("s"))

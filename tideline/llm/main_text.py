@@ -10,7 +10,8 @@ earn points by their length and commas and pass them to their ancestors,
 halved and thinned further up; a container's points are discounted by its link
 density.  The best container is kept, and those of its siblings that score well
 or read as paragraphs.  Blocks come in page order, white space made one space,
-joined by an empty line.
+joined by an empty line.  Of inline tags only ``br`` makes white space; a slash
+at the end of a tag that is not void means nothing, as in HTML.
 
 Null html counts as empty; a page without text gives the empty string.  Nothing
 is dropped for its length.  No step recurses, so any depth of nesting works.
@@ -112,8 +113,9 @@ class Page:
             self.tag.append(name)
             self.cut.append(cut or self.cut[stack[-1]])
             self.weight.append(weight)
-            if name in VOID or (m[3] or m[6] or "").endswith("/") and name not in BLOCK:
-                self.pieces.append((node, "\n"))
+            if name in VOID:
+                if name in ("br", "hr"):
+                    self.pieces.append((node, "\n"))
                 continue
             if name in RAW:
                 end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(source, at)
