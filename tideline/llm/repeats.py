@@ -10,20 +10,26 @@ an anchor, so equal strings have an anchor at the same place.
    around it can reach.  Grams are counted, with the least and the greatest
    hash of their contexts.  Those that occur once are done with.  Where all
    contexts of a gram are equal every string around it repeats, and no bytes
-   need to move.  Bit tables of fixed size (``BITS``) hold the other two kinds.
+   need to move.  Bit tables, sized by the counts (``BITS``), hold the other kinds.
 2. The anchors of grams with different contexts send their contexts' bytes.  A
    task merges its equal contexts.
 3. Sampled splitters range-partition the contexts by their leading gram, so
-   equal grams share a bucket and no match crosses a boundary.  Each bucket is
+   equal grams share a bucket and no match crosses a boundary.  A bucket is read
+   gram by gram, about ``HELD`` contexts at a time, and those are
    sorted by multikey quicksort (8 bytes a character), forwards from the anchor
    and backwards from it; neighbours' common lengths tell, for each place of
    the string around the anchor, which contexts agree on all of it.
-4. The spans found are merged for each document and cut out.
+4. A hot gram, with more than ``HOT`` occurrences, does not go to one bucket.  The
+   splitters within it are the whole strings: each merged context lists, for
+   every place of the string around the anchor, that string's hash, and these are
+   counted wherever they fall, combined before they are shuffled.
+5. The spans found are merged for each document and cut out.
 
 Null text counts as empty.  Matches never cross documents.  Repeated rows
-repeat each other, so all their long strings go.  Grams, and equal contexts
-merged in a task, are told apart by 64-bit hashes; the strings are compared
-byte by byte.
+repeat each other, so all their long strings go.  Grams, equal contexts merged
+in a task, and strings of one length around one hot gram at one place are told
+apart by 64-bit hashes; all other strings are compared byte by byte.  Only the
+key and the text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -33,6 +39,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +47,10 @@ from .grid import CHUNK, U64, mix, powers, text_buffer
 from .staging import arrow_map, bit_table, staged
 
 LENGTH, GRAM = 200, 64
-BITS = 27
+#: Bits of a bit table: 16 for each gram in it, between these powers of two (beyond, more contexts pass than needed).
+BITS = (20, 29)
+#: Occurrences of a gram that go to one bucket, at most; contexts sorted at a time, about.
+HOT, HELD = 4096, 20_000
 
 
 def _pieces(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -159,24 +169,50 @@ def _gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Arra
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[at]))])
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], shared, length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """before and after (bytes), and who has this context: the rows' keys and places."""
-    table = shared.value
+def _merged(batches: Iterator[pa.RecordBatch], wanted, length: int, gram: int):
+    """A column's bytes; gram and context hash, anchor, start and end of its different contexts; who has each: the rows' keys and places."""
     for batch in batches:
         column = batch.column(2)
-        data_all, all_bounds = text_buffer(column)
+        data, bounds = text_buffer(column)
         for _, _, _, h, _, row, place in _unique_anchors(column, length, gram):
-            keep = table.test(h)
+            keep = wanted(h)
             h, row, place = h[keep], row[keep], place[keep]
             if not len(h):
                 continue
-            at, start, end = _reach(all_bounds, row, place, length, gram)
-            c = _context_hashes(data_all, at, start, end)
+            at, start, end = _reach(bounds, row, place, length, gram)
+            c = _context_hashes(data, at, start, end)
             order = np.lexsort((c, h))
             new = np.r_[True, (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])]
             first, cuts = order[new], np.r_[np.flatnonzero(new), len(order)]
             who = pa.StructArray.from_arrays([batch.column(0).take(pa.array(row[order])), batch.column(1).take(pa.array(row[order])), pa.array(place[order])], ["doc_id", "th", "at"])
-            yield pa.RecordBatch.from_arrays([_gathered(data_all, start[first], at[first]), _gathered(data_all, at[first], end[first]), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), who)], ["before", "after", "who"])
+            yield data, h[first], c[first], at[first], start[first], end[first], pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), who)
+
+
+def _contexts(batches: Iterator[pa.RecordBatch], shared, hot, length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """before and after (bytes), and who, for grams that are not hot."""
+    wanted = lambda h: shared.value.test(h) & ~hot.value.test(h)
+    for data, _, _, at, start, end, who in _merged(batches, wanted, length, gram):
+        yield pa.RecordBatch.from_arrays([_gathered(data, start, at), _gathered(data, at, end), who], ["before", "after", "who"])
+
+
+def _strings(batches: Iterator[pa.RecordBatch], hot, length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Contexts of hot grams, with the hashes of the strings that start 0, 1, ... bytes before the anchor, as far as there are such."""
+    offsets = np.arange(length - gram + 1)
+    for data, h, c, at, start, end, who in _merged(batches, lambda h: hot.value.test(h), length, gram):
+        base = int(start.min())
+        part = data[base : int(end.max())]
+        up, down = powers(len(part) + 1)
+        total = np.zeros(len(part) + 1, U64)
+        np.cumsum((part.astype(U64) + U64(1)) * up[: len(part)], out=total[1:])
+        for k in range(0, len(h), 2048):
+            rows = slice(k, k + 2048)
+            s = at[rows, None] - offsets
+            row, o = np.nonzero((s >= start[rows, None]) & (s + length <= end[rows, None]))
+            s = s[row, o] - base
+            x = mix((total[s + length] - total[s]) * down[s])
+            bounds = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(h[rows])))]).astype(np.int32)
+            each = pa.StructArray.from_arrays([pa.array(o.astype(np.int32)), pa.array(x.view(np.int64))], ["o", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[rows].view(np.int64)), pa.array(c[rows].view(np.int64)), who[rows], pa.ListArray.from_arrays(pa.array(bounds), each)], ["h", "c", "who", "strings"])
 
 
 def _matrix(column: pa.Array, width: int, backwards: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -228,13 +264,28 @@ def _common(table: np.ndarray, size: np.ndarray, order: np.ndarray) -> np.ndarra
     return out
 
 
-def _bucket(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Spans of the strings that repeat around this bucket's anchors."""
-    held = list(batches)
-    if not held:
+def _bucket(batches: Iterator[pa.RecordBatch], length: int, gram: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Spans of the strings that repeat around this bucket's anchors, which come sorted by gram."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) < most:
+            continue
+        lead = pc.binary_slice(batch.column(1), 0, gram)
+        cut = pc.not_equal(lead, lead[-1]).to_numpy(zero_copy_only=False)
+        if cut.any():  # the last gram may go on in the next batch
+            at = int(np.flatnonzero(cut)[-1]) + 1
+            yield from _spans([*held[:-1], batch.slice(0, at)], length, gram)
+            held = [batch.slice(at)]
+    if held:
+        yield from _spans(held, length, gram)
+
+
+def _spans(held: list[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    whole = pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=None)
+    if not whole:
         return
-    whole = pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=None)[0]
-    del held
+    whole = whole[0]
     n = whole.num_rows
     reach = length - gram
     after, a_size = _matrix(whole.column(1), -(-length // 8) * 8, False)
@@ -298,6 +349,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
 
 
+def _table(grams: DataFrame):
+    """A bit table of the grams, sized by their count."""
+    least, most = BITS
+    return bit_table(grams, "h", min(most, max(least, (16 * grams.count()).bit_length())))
+
+
 def remove(df: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, n_bytes, removed (maximal spans, in bytes), kept (the other bytes).
 
@@ -306,13 +363,21 @@ def remove(df: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "do
     kind = df.schema[key].dataType.simpleString()
     docs = df.select(F.col(key).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     counts = arrow_map(docs.select("t"), partial(_grams, length=length, gram=gram), "h long, n long, x long, y long").groupBy("h").agg(F.sum("n").alias("n"), F.min("x").alias("x"), F.max("y").alias("y")).filter("n > 1")
-    grams = staged(counts.select("h", (F.col("x") == F.col("y")).alias("alike")), "grams")
-    mixed, alike = grams.filter("not alike"), grams.filter("alike").select("h")
-    found = arrow_map(docs, partial(_contexts, shared=bit_table(mixed, "h", BITS), length=length, gram=gram), f"before binary, after binary, who array<struct<doc_id:{kind},th:bigint,at:bigint>>")
-    sorted_in = found.repartitionByRange(F.substring("after", 1, gram))
-    spans = arrow_map(sorted_in, partial(_bucket, length=length, gram=gram), f"doc_id {kind}, th long, s long, e long")
-    whole = arrow_map(docs, partial(_whole, shared=bit_table(alike, "h", BITS), length=length, gram=gram), f"h long, doc_id {kind}, th long, s long, e long").join(alike, "h").drop("h")
+    grams = staged(counts.select("h", (F.col("x") == F.col("y")).alias("alike"), (F.col("n") > HOT).alias("many")), "grams")
+    hot, mixed, alike = grams.filter("not alike and many"), grams.filter("not alike and not many"), grams.filter("alike").select("h")
+    hot_table = _table(hot)
+    who = f"who array<struct<doc_id:{kind},th:bigint,at:bigint>>"
+    found = arrow_map(docs, partial(_contexts, shared=_table(mixed), hot=hot_table, length=length, gram=gram), f"before binary, after binary, {who}")
+    lead = F.substring("after", 1, gram)
+    spans = arrow_map(found.repartitionByRange(lead).sortWithinPartitions(lead), partial(_bucket, length=length, gram=gram, most=HELD), f"doc_id {kind}, th long, s long, e long")
+    whole = arrow_map(docs, partial(_whole, shared=_table(alike), length=length, gram=gram), f"h long, doc_id {kind}, th long, s long, e long").join(alike, "h").drop("h")
     spans = spans.union(whole)
+    if hot.limit(1).count():
+        around = staged(arrow_map(docs, partial(_strings, hot=hot_table, length=length, gram=gram), f"h long, c long, {who}, strings array<struct<o:int,s:bigint>>"), "strings")
+        each = around.select("h", "c", F.size("who").alias("n"), F.explode("strings").alias("x")).select("h", "c", "n", "x.o", "x.s")
+        repeated = each.groupBy("h", "o", "s").agg(F.sum("n").alias("n")).filter("n > 1").drop("n")
+        ends = each.select("h", "o", "s", "c").distinct().join(repeated, ["h", "o", "s"]).groupBy("h", "c").agg(F.min("o").alias("low"), F.max("o").alias("high"))
+        spans = spans.union(around.select("h", "c", F.explode("who").alias("w")).join(staged(ends, "ends"), ["h", "c"]).select("w.doc_id", "w.th", F.col("w.at") - F.col("high"), F.col("w.at") - F.col("low") + length))
     spans = staged(spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e")).alias("found")), "spans")
     both = docs.alias("d").join(spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.th") == F.col("s.th")), "left").select("d.doc_id", "t", "found")
     out = arrow_map(both, _cut, f"doc_id {kind}, n_bytes long, removed array<struct<start:bigint,end:bigint>>, kept binary")
