@@ -1,23 +1,31 @@
 """Personal data by weak-supervision aggregation, in DataFrame functions only.
 
 Fixed patterns give candidate spans.  Labelers vote on each candidate: the
-pattern's own check, a gazetteer (top-level domains, reserved networks, issuer
-digits, calling codes) and context words before and after it, and its digits'
-shape.  Votes are counted over all rows by vote pattern (a few hundred
-patterns at most, whatever the input), expectation-maximisation over these
-counts estimates how reliable each labeler is, and a logistic span classifier
-is trained on the resulting soft labels.  Base spans (those that pass their
-check) always stay; the classifier adds spans of kind ``other``.
+pattern's own check, a gazetteer (top-level domains, countries, reserved networks,
+issuer digits, calling codes), context words before and after it, and its digits'
+shape.  Candidates are counted over all rows by their votes and features (a
+bounded number of combinations, whatever the input), expectation-maximisation
+over these counts estimates how reliable each labeler is, and a logistic span
+classifier is trained on the resulting soft labels.  Its features go beyond the
+votes: what form the span has, how many digits and separators, and which class of
+words stands near, also together with the form.  Base spans (those that pass
+their check) always stay; the classifier adds spans of kind ``other``: national
+phone and identity numbers, bank accounts, written-out addresses, dates of birth.
 
 Null text counts as empty.  Spans are in code points, end exclusive.  Repeated
-rows count and are returned once each.  Only the keys and the text are read, so
-other columns may have any names.
+rows count and are returned once each.  Spans that tie in kind and start cannot
+be; an added span that touches a base span is left out.  Texts of any length go
+whole: places are running sums in blocks, so their cost grows far less than with
+the square of the matches.  Only the keys and the text are read, so other columns
+may have any names.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +37,14 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-OTHER = r"(?<![0-9A-Za-z+])(?:\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30})(?![0-9A-Za-z])"
+FORMS = {
+    "national": r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}",
+    "identity": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    "account": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+    "written": r"[A-Za-z0-9._%+-]{1,64} ?[\[({]at[\])}] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[({]dot[\])}]) ?[A-Za-z0-9-]{1,63}){1,4}",
+    "date": r"[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}",
+}
+OTHER = rf"(?<![0-9A-Za-z+])(?:{'|'.join(FORMS.values())})(?![0-9A-Za-z])"
 KINDS = ("email", "ip", "card", "phone", "other")
 PATTERNS = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE, OTHER)))
 
@@ -37,14 +52,51 @@ PATTERNS = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE, OTHER)))
 DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "co", "de", "fr", "es", "it", "nl", "uk", "us", "eu", "ch", "at", "be", "pt", "mx", "ca", "example")
 CALLING = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 RESERVED = r"^(0|10|127|169\.254|192\.168|172\.(1[6-9]|2[0-9]|3[01])|22[4-9]|2[345][0-9])\."
-PRIVATE_WORDS = r"(?i)\b(mail|e-mail|email|contact|call|tel|phone|fax|mobile|card|visa|iban|account|konto|ssn|ip|server|host|address|adresse|correo|from|reach)\b"
-NEUTRAL_WORDS = r"(?i)\b(version|page|isbn|issn|chapter|section|table|figure|ref|line|build|serial|total|price)\b"
+COUNTRIES = r"^(AD|AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IS|IT|LI|LT|LU|LV|MC|MT|NL|NO|PL|PT|RO|SE|SI|SK|SM|TR)"
+#: Classes of context words, the first that is near counts; the last speaks against.
+CUES = {
+    "birth": r"(?i)\b(born|birth|birthday|dob|geboren|geburtsdatum|nacimiento|naissance)\b",
+    "contact": r"(?i)\b(mail|e-mail|email|contact|call|tel|phone|fax|mobile|correo|reach|address|adresse)\b",
+    "money": r"(?i)\b(card|visa|iban|account|konto|bank|ssn|social security)\b",
+    "network": r"(?i)\b(ip|server|host|from)\b",
+    "neutral": r"(?i)\b(version|page|isbn|issn|chapter|section|table|figure|ref|line|build|serial|total|price)\b",
+}
 CONTEXT = 40
 #: A candidate that is no base span is added from this probability on.
 ADDED_FROM = 0.9
 LABELERS = ("check", "gazetteer", "context", "shape")
 
-SPAN = "array<struct<start:int,end:int,ok:boolean,base:boolean,check:int,gazetteer:int,context:int,shape:int>>"
+#: Features of a span besides its votes, each a number below: its form (base kinds, then FORMS), digits, separators, nearest cue.
+FEATURES = {"form": len(KINDS) - 1 + len(FORMS), "digits": 5, "separators": 4, "cue": len(CUES) + 1}
+NUMBERS = (*LABELERS, *FEATURES)
+#: Running sums are made in blocks of so many.
+RUN = 64
+
+SPAN = "array<struct<start:int,end:int,keep:boolean,ok:boolean," + ",".join(f"{n}:int" for n in NUMBERS) + ">>"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(steps: Column, zero: int, join: Callable[[Column, Column], Column]) -> Column:
+    """The array's running fold: within blocks of RUN, then over the blocks, so that no long array is copied for each item."""
+    none = F.array().cast("array<int>")
+
+    def fold(items: Column, before: bool) -> Column:
+        def step(a: Column, x: Column) -> Column:
+            now = join(a["now"], x).cast("int")
+            return F.struct(now.alias("now"), F.concat(a["all"], F.array(a["now"] if before else now)).alias("all"))
+
+        return F.aggregate(items, F.struct(F.lit(zero).alias("now"), none.alias("all")), step, lambda a: a["all"])
+
+    def whole(s: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(s) - 1) / RUN).cast("int"))
+        inner = F.transform(starts, lambda b: fold(F.slice(s, b * RUN + 1, F.lit(RUN)), False))
+        return _let(inner, lambda i: F.flatten(F.zip_with(i, fold(F.transform(i, lambda o: F.element_at(o, -1)), True), lambda o, b: F.transform(o, lambda x: join(b, x)))))
+
+    return _let(steps, lambda s: F.when(F.size(s) > 0, whole(s)).otherwise(none))
 
 
 def _digits(m: Column) -> Column:
@@ -62,9 +114,15 @@ def _sign(yes: Column, no: Column) -> Column:
 
 
 def _judged(kind: str, m: Column, before: Column, after: Column) -> tuple[Column, Column, dict[str, Column]]:
-    """Whether to keep the candidate at all, whether it passes, and the labelers' votes."""
+    """Whether to keep the candidate at all, whether it passes, and the labelers' votes and the features."""
     digits = _digits(m)
     n = F.length(digits)
+    form, valid = F.lit(KINDS.index(kind)), None
+    around = F.concat(before, F.lit(" . "), after)
+    cue = F.lit(0)
+    for k, words in reversed(list(enumerate(CUES.values(), 1))):
+        cue = F.when(around.rlike(words), k).otherwise(cue)
+    near = _sign((cue > 0) & (cue < len(CUES)), cue == len(CUES))
     if kind == "email":
         keep, ok = F.lit(True), F.lit(True)
         known = F.lower(F.regexp_extract(m, r"\.([A-Za-z0-9-]+)$", 1)).isin(*DOMAINS)
@@ -81,31 +139,45 @@ def _judged(kind: str, m: Column, before: Column, after: Column) -> tuple[Column
         known = m.rlike(CALLING)
     else:
         keep, ok = F.lit(True), F.lit(False)
-        known = ~m.rlike(r"^(000|666|9[0-9]{2})-")
-    around = F.concat(before, F.lit(" . "), after)
-    votes = {
-        "check": F.lit(0) if kind == "other" else _sign(ok, ~ok),
+        names = list(FORMS)
+        for k, name in enumerate(names[:-1]):
+            form = F.when(m.rlike(f"^(?:{FORMS[name]})$"), len(KINDS) - 1 + k).otherwise(form) if k else F.when(m.rlike(f"^(?:{FORMS[name]})$"), len(KINDS) - 1).otherwise(len(KINDS) - 2 + len(names))
+        of = lambda name: form == len(KINDS) - 1 + names.index(name)
+        # being well formed speaks for a number, and says nothing of a date
+        wrong = F.when(of("identity"), m.rlike("^(000|666|9)|-00-|-0000$")).when(of("national"), m.rlike(r"^\(?[01]")).when(of("date"), m.rlike(r"^([0-9]+[./-])(1[3-9]|[2-9][0-9])")).otherwise(F.lit(False))
+        valid = F.when(wrong, -1).when(of("date"), 0).otherwise(1)
+        known = F.when(of("account"), m.rlike(COUNTRIES)).when(of("written"), F.lower(F.regexp_extract(m, r"([A-Za-z0-9-]+)$", 1)).isin(*DOMAINS))
+        near = F.when(of("date"), _sign(cue == 1, cue != 1)).otherwise(near)
+    separators = F.length(m) - F.length(F.regexp_replace(m, r"[ ().-]", ""))
+    numbers = {
+        "check": _sign(ok, ~ok) if valid is None else valid,
         "gazetteer": _sign(known, ~known),
-        "context": _sign(around.rlike(PRIVATE_WORDS), around.rlike(NEUTRAL_WORDS)),
+        "context": near,
         "shape": _sign(F.lit(False), digits.rlike(r"^([0-9])\1{6,}$") | digits.rlike("^0*1?2345678")),
+        "form": form,
+        "digits": F.when(n < 4, 0).when(n < 8, 1).when(n < 11, 2).when(n < 14, 3).otherwise(4),
+        "separators": F.least(separators, F.lit(3)),
+        "cue": cue,
     }
-    return keep, ok, votes
+    return keep, ok, numbers
 
 
 def _found(kind: str, text: Column) -> Column:
     """Candidates of a kind with their places: pieces between the matches and the matches, added up."""
-    pieces, matches = F.split(text, PATTERNS[kind], -1), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    rows = F.arrays_zip(pieces.alias("p"), matches.alias("m"), F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))).alias("q"))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["p"])
-        end = start + F.length(F.coalesce(x["m"], F.lit("")))
-        keep, ok, votes = _judged(kind, x["m"], F.right(x["p"], F.lit(CONTEXT)), F.left(F.coalesce(x["q"], F.lit("")), F.lit(CONTEXT)))
-        span = F.struct(start.alias("start"), end.alias("end"), ok.alias("ok"), F.lit(kind != "other").alias("base"), *(v.alias(k) for k, v in votes.items()))
-        return F.struct(end.alias("pos"), F.when(x["m"].isNotNull() & keep, F.concat(acc["out"], F.array(span).cast(SPAN))).otherwise(acc["out"]).alias("out"))
+    def placed(m: Column, p: Column, ends: Column) -> Column:
+        def span(x: Column, i: Column) -> Column:
+            after = F.get(ends, i)
+            keep, ok, numbers = _judged(kind, x, F.right(F.get(p, i), F.lit(CONTEXT)), F.left(F.get(p, i + 1), F.lit(CONTEXT)))
+            return F.struct((after - F.length(x)).alias("start"), after.alias("end"), keep.alias("keep"), ok.alias("ok"), *(v.alias(k) for k, v in numbers.items()))
+
+        return F.filter(F.transform(m, span).cast(SPAN), lambda s: s["keep"])
+
+    def measured(m: Column) -> Column:
+        return _let(F.split(text, PATTERNS[kind], -1), lambda p: _let(_running(F.transform(m, lambda x, i: F.length(F.get(p, i)) + F.length(x)), 0, lambda a, x: a + x), lambda ends: placed(m, p, ends)))
 
     none = F.array().cast(SPAN)
-    found = F.aggregate(rows, F.struct(F.lit(0).alias("pos"), none.alias("out")), add, lambda acc: acc["out"])
+    found = _let(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), lambda m: F.when(F.size(m) > 0, measured(m)).otherwise(none))
     needs = {"email": F.contains(text, F.lit("@")), "ip": F.contains(text, F.lit(".")), "phone": F.contains(text, F.lit("+"))}.get(kind)
     return found if needs is None else F.when(needs, found).otherwise(none)
 
@@ -116,68 +188,93 @@ def candidates(df: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_
     return df.select(*keys, *(_found(k, whole).alias(f"c_{k}") for k in KINDS))
 
 
-def vote_counts(cands: DataFrame) -> list[tuple[str, tuple[int, ...], int]]:
-    """How often each kind has each vote pattern; 3 votes of 4 labelers and 5 kinds bound the rows by 405."""
+Counts = list[tuple[str, tuple[int, ...], int]]
+
+
+def vote_counts(cands: DataFrame) -> Counts:
+    """How often each kind has each combination of votes and features (see FEATURES: their number is bounded)."""
     def of(kind: str) -> Column:
-        return F.transform(f"c_{kind}", lambda s: F.struct(F.lit(kind).alias("kind"), *(s[v].alias(v) for v in LABELERS)))
+        return F.transform(f"c_{kind}", lambda s: F.struct(F.lit(kind).alias("kind"), *(s[v].alias(v) for v in NUMBERS)))
 
     each = F.explode(F.flatten(F.array(*map(of, KINDS))))
-    rows = cands.select(each.alias("s")).groupBy("s.kind", *(f"s.{v}" for v in LABELERS)).agg(F.count("*").alias("n")).collect()
-    return sorted((r["kind"], tuple(r[v] for v in LABELERS), r["n"]) for r in rows)
+    rows = cands.select(each.alias("s")).groupBy("s.kind", *(f"s.{v}" for v in NUMBERS)).agg(F.count("*").alias("n")).collect()
+    return sorted((r["kind"], tuple(r[v] for v in NUMBERS), r["n"]) for r in rows)
 
 
-def reliabilities(counts: list[tuple[str, tuple[int, ...], int]], rounds: int = 50) -> list[float]:
-    """Expectation-maximisation for two classes and labelers that vote independently given the class.
+def reliabilities(counts: Counts, rounds: int = 50) -> np.ndarray:
+    """Expectation-maximisation for two classes and labelers that vote independently given the class; forms have priors of their own.
 
-    The probability that a candidate with each entry's pattern is personal.
+    The probability that a candidate of each entry is personal.
     """
-    soft = [min(0.95, max(0.05, 0.5 + 0.2 * sum(v))) for _, v, _ in counts]
+    if not counts:
+        return np.zeros(0)
+    votes = np.array([v[: len(LABELERS)] for _, v, _ in counts])
+    form = np.array([v[len(LABELERS)] for _, v, _ in counts])
+    n = np.array([c for *_, c in counts], float)
+    soft = np.clip(0.5 + 0.2 * votes.sum(1), 0.05, 0.95)
     for _ in range(rounds):
-        prior: dict[str, float] = {}
-        for kind in {k for k, _, _ in counts}:
-            total = sum(n for k, _, n in counts if k == kind)
-            prior[kind] = (sum(p * n for p, (k, _, n) in zip(soft, counts) if k == kind) + 1) / (total + 2)
-        table: dict[tuple[int, int, int], float] = {}
+        prior = (np.bincount(form, soft * n, FEATURES["form"]) + 1) / (np.bincount(form, n, FEATURES["form"]) + 2)
+        odds = np.log(prior[form] / (1 - prior[form]))
         for j in range(len(LABELERS)):
+            p = np.ones((2, 3))  # a labeler that does not vote says nothing
             for label in (0, 1):
-                of = lambda p: p if label else 1 - p  # noqa: E731, B023
-                total = sum(of(p) * n for p, (_, _, n) in zip(soft, counts))
-                for vote in (-1, 0, 1):
+                mass = (soft if label else 1 - soft) * n
+                for vote in (-1, 1):
                     # a labeler is taken to be right more often than wrong: pseudo-counts
-                    hold = 2.0 if vote == 0 or (vote > 0) == bool(label) else 0.5
-                    table[j, label, vote] = (sum(of(p) * n for p, (_, v, n) in zip(soft, counts) if v[j] == vote) + hold) / (total + 4.5)
-        soft = []
-        for kind, votes, _ in counts:
-            odds = math.log(prior[kind] / (1 - prior[kind])) + sum(math.log(table[j, 1, v] / table[j, 0, v]) for j, v in enumerate(votes))
-            soft.append(1 / (1 + math.exp(-max(-30, min(30, odds)))))
+                    hold = 4.0 if (vote > 0) == bool(label) else 1.0
+                    p[label, vote + 1] = (mass[votes[:, j] == vote].sum() + hold) / (mass[votes[:, j] != 0].sum() + 5.0)
+            odds += np.log(p[1] / p[0])[votes[:, j] + 1]
+        soft = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return soft
 
 
-def train(counts: list[tuple[str, tuple[int, ...], int]], soft: list[float], steps: int = 400) -> dict[tuple[str, object], float]:
-    """Weights of a logistic classifier on kind and votes, fitted to the soft labels (each pattern weighs its log count)."""
-    weights: dict[tuple[str, object], float] = {}
-    names = [[("kind", k), *((LABELERS[j], v) for j, v in enumerate(votes))] for k, votes, _ in counts]
-    mass = [math.log1p(n) for *_, n in counts]
-    for _ in range(steps):
-        step: dict[tuple[str, object], float] = {}
-        for x, p, m in zip(names, soft, mass):
-            z = sum(weights.get(f, 0.0) for f in x)
-            g = m * (p - 1 / (1 + math.exp(-max(-30, min(30, z)))))
-            for f in x:
-                step[f] = step.get(f, 0.0) + g
-        for f, g in step.items():
-            weights[f] = weights.get(f, 0.0) * 0.999 + 0.5 * g / (sum(mass) or 1)
-    return weights
-
-
-def _probability(kind: str, span: Column, weights: dict[tuple[str, object], float]) -> Column:
-    z = F.lit(float(weights.get(("kind", kind), 0.0)))
-    for name in LABELERS:
-        for vote in (-1, 0, 1):
-            z = z + F.when(span[name] == vote, float(weights.get((name, vote), 0.0))).otherwise(0.0)
+def _columns(form: int, numbers: tuple[int, ...]) -> dict[str, int]:
+    """Each group of weights and which of it a span has."""
+    votes, rest = numbers[: len(LABELERS)], numbers[len(LABELERS) :]
+    cue = rest[-1]
+    return {**{k: v + 1 for k, v in zip(LABELERS, votes)}, **dict(zip(FEATURES, rest)), "both": form * FEATURES["cue"] + cue}
+
+
+_GROUPS = {**{k: 3 for k in LABELERS}, **FEATURES, "both": FEATURES["form"] * FEATURES["cue"]}
+
+
+def train(counts: Counts, soft: np.ndarray, steps: int = 500) -> dict[str, np.ndarray]:
+    """Weights of a logistic classifier on votes and features, fitted to the soft labels (each combination weighs its log count)."""
+    starts = dict(zip(_GROUPS, np.cumsum([0, *_GROUPS.values()])))
+    x = np.zeros((len(counts), sum(_GROUPS.values())))
+    for i, (_, numbers, _) in enumerate(counts):
+        for name, k in _columns(numbers[len(LABELERS)], numbers).items():
+            x[i, starts[name] + k] = 1
+    mass = np.log1p([n for *_, n in counts])
+    w = np.zeros(x.shape[1])
+    for _ in range(steps if len(counts) else 0):
+        w = w * 0.999 + 1.0 * (x.T @ (mass * (soft - 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))))) / mass.sum()
+    return {name: w[at : at + _GROUPS[name]] for name, at in starts.items()}
+
+
+def _probability(span: Column, weights: dict[str, np.ndarray]) -> Column:
+    of = lambda name, k: F.get(F.array(*(F.lit(float(w)) for w in weights[name])), k)
+    z = of("both", span["form"] * FEATURES["cue"] + span["cue"])
+    for name in NUMBERS:
+        z = z + of(name, span[name] + 1 if name in LABELERS else span[name])
     return 1 / (1 + F.exp(-z))
 
 
+def _free(maybe: Column, base: Column) -> Column:
+    """The spans of maybe that touch no base span, in order."""
+    mark = lambda spans, b: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(b).alias("base")))
+    every = F.array_sort(F.array_distinct(F.concat(mark(base, True), mark(maybe, False))))
+    highest, lowest = lambda a, x: F.greatest(a, x), lambda a, x: F.least(a, x)
+
+    def picked(all_: Column) -> Column:
+        before = _running(F.transform(all_, lambda s: F.when(s["base"], s["end"]).otherwise(-1)), -1, highest)
+        after = F.reverse(_running(F.reverse(F.transform(all_, lambda s: F.when(s["base"], s["start"]).otherwise((1 << 31) - 1))), (1 << 31) - 1, lowest))
+        spans = F.transform(all_, lambda s: F.struct(F.lit("other").alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+        return _let(before, lambda b: _let(after, lambda a: F.filter(spans, lambda s, i: ~F.get(all_, i)["base"] & (F.get(b, i) <= s["start"]) & (F.get(a, i) >= s["end"]))))
+
+    return F.when(F.size(maybe) > 0, _let(every, picked)).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int>>"))
+
+
 def find(df: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), base: str = "base_spans", spans: str = "spans") -> DataFrame:
     """The keys, and two arrays of (kind, start, end): base spans, and all spans with those that the classifier adds.
 
@@ -187,15 +284,13 @@ def find(df: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",),
     cands = staged(candidates(df, text, keys), "pii")
     counts = vote_counts(cands)
     weights = train(counts, reliabilities(counts))
+
     def span(kind: str, s: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
 
     def sure(kind: str) -> Column:
-        return F.transform(F.filter(f"c_{kind}", lambda s: s["ok"] & s["base"]), lambda s: span(kind, s))
-
-    def likely(kind: str) -> Column:
-        return F.transform(F.filter(f"c_{kind}", lambda s: ~(s["ok"] & s["base"]) & (_probability(kind, s, weights) >= ADDED_FROM)), lambda s: span("other", s))
+        return F.transform(F.filter(f"c_{kind}", lambda s: s["ok"]), lambda s: span(kind, s))
 
-    out = cands.select(*keys, F.flatten(F.array(*map(sure, KINDS[:-1]))).alias(base), F.flatten(F.array(*map(likely, KINDS))).alias("__maybe"))
-    free = F.array_sort(F.array_distinct(F.filter("__maybe", lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))))
-    return out.select(*keys, base, F.concat(F.col(base), free).alias(spans))
+    likely = F.transform(F.filter("c_other", lambda s: _probability(s, weights) >= ADDED_FROM), lambda s: span("other", s))
+    out = cands.select(*keys, F.flatten(F.array(*map(sure, KINDS[:-1]))).alias(base), likely.alias("__maybe"))
+    return out.select(*keys, base, F.concat(F.col(base), _free(F.col("__maybe"), F.col(base))).alias(spans))
