@@ -1,8 +1,13 @@
+import itertools
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tideline.functions import aggregates, arrays, text
-from tideline.operators import expand, multiset
+from tideline.functions import aggregates, arrays, parsers, text
+from tideline.operators import expand, multiset, stateful
 from tideline.seq import Seq
 from tideline.sources import files
 from tideline.streaming import sessions
@@ -35,18 +40,40 @@ def test_uniq_keeps_separate_runs_and_nulls(spark):
 
 
 def test_multiset_rules(spark):
-    left, right = ints(spark, [1, 1, 2]), ints(spark, [1, 1])
-    assert listed(multiset.delete_firsts(left, right, ["x"], ["ord"])) == [2]
-    out = multiset.union_by(ints(spark, [1, 2, 2, 4]), ints(spark, [1, 1, 2, 3, 3]), ["x"], ["ord"])
-    assert [r["x"] for r in out.orderBy("part", "ord").collect()] == [1, 2, 2, 4, 3]
-    assert listed(multiset.first_of_each(ints(spark, [1, 2, 1, 3, 2, 4]), ["x"], ["ord"])) == [1, 2, 3, 4]
+    """Against plain list operations, on random sequences with repeats."""
+    rng = random.Random(12)
+    left, right = ([rng.randint(0, 9) for _ in range(n)] for n in (30, 17))
+    kept = list(left)
+    for x in right:
+        if x in kept:
+            kept.remove(x)
+    a, b = ints(spark, left), ints(spark, right)
+    assert listed(multiset.delete_firsts(a, b, ["x"], ["ord"])) == kept
+    assert [r["x"] for r in multiset.union_by(a, b, ["x"], ["ord"]).orderBy("part", "ord").collect()] == left + [x for x in dict.fromkeys(right) if x not in left]
+    assert listed(multiset.first_of_each(a, ["x"], ["ord"])) == list(dict.fromkeys(left))
 
 
 def test_tree_orders(spark):
-    edges = spark.createDataFrame([(1, 2), (1, 3), (2, 4)], "parent long, child long")
-    out = expand.iterate_tree(edges, spark.createDataFrame([(1,)], "child long"))
-    assert [r["node"] for r in out.orderBy("path").collect()] == [1, 2, 4, 3]
-    assert [r["node"] for r in out.orderBy("level", "path").collect()] == [1, 2, 3, 4]
+    """Against a recursive walk of a random tree."""
+    rng = random.Random(13)
+    below = {}
+    for child in range(1, 25):
+        below.setdefault(rng.randrange(child), []).append(child)
+    edges = spark.createDataFrame([(p, c) for p, cs in below.items() for c in cs], "parent long, child long")
+
+    def walk(node, level=0):
+        yield node, level
+        for c in below.get(node, ()):
+            yield from walk(c, level + 1)
+
+    deep = list(walk(0))
+    out = expand.tree_orders(expand.iterate_tree(edges, spark.createDataFrame([(0,)], "child long")))
+    rows = out.collect()
+    assert [r["node"] for r in sorted(rows, key=lambda r: r["depth_first"])] == [n for n, _ in deep]
+    broad = sorted(deep, key=lambda x: x[1])
+    assert [r["node"] for r in sorted(rows, key=lambda r: r["breadth_first"])] == [n for n, _ in broad]
+    reversed_levels = sorted(deep[::-1], key=lambda x: x[1])
+    assert [r["node"] for r in sorted(rows, key=lambda r: r["breadth_reversed"])] == [n for n, _ in reversed_levels]
 
 
 def test_tree_of_many_levels(spark):
@@ -61,10 +88,98 @@ def test_tree_of_many_levels(spark):
 
 
 def test_splits(spark):
-    df = spark.createDataFrame([("",), ("a...b",), ("abc",), ("..",), (".a",), ("a.",)], "s string")
-    got = {r["s"]: (r["i"], r["e"]) for r in df.select("s", text.split_sep_by_seq(F.col("s"), ".").alias("i"), text.split_end_by_seq(F.col("s"), ".").alias("e")).collect()}
-    assert got[""] == ([], []) and got["a."] == (["a", ""], ["a"]) and got[".a"] == (["", "a"], ["", "a"])
-    assert got["a...b"] == (["a", "", "", "b"], ["a", "", "", "b"])
+    """Against str.split and its like, on every short text of three letters."""
+    texts = ["".join(t) for n in range(5) for t in itertools.product("x;y", repeat=n)]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    s = F.col("s")
+    for r in df.select("s", text.split_sep_by_seq(s, ";").alias("i"), text.split_end_by_seq(s, ";").alias("e"), text.split_sep_by_seq(s, ";y").alias("two")).collect():
+        t = r["s"]
+        assert r["i"] == (t.split(";") if t else []) and r["two"] == (t.split(";y") if t else [])
+        parts = t.split(";")
+        assert r["e"] == (parts[:-1] if not parts[-1] else parts)
+
+
+def test_lines_and_words(spark):
+    texts = ["".join(t) for n in range(6) for t in itertools.product("a \n", repeat=n)] + ["a\r\n\n", "\t a\u00a0b ", None]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    s = F.col("s")
+    for r in df.select("s", text.lines(s).alias("lines"), text.count_lines(s).alias("n"), text.count_words(s).alias("w"), text.unlines(text.lines(s)).alias("u")).collect():
+        t = r["s"]
+        if t is None:
+            assert r["lines"] is r["n"] is r["w"] is None
+            continue
+        want = t.split("\n")[:-1] if t.endswith("\n") or not t else t.split("\n")
+        assert r["lines"] == want and r["n"] == len(want) and r["u"] == "".join(x + "\n" for x in want), repr(t)
+        assert r["w"] == len(re.findall(r"[^ \t\n\r\f\v]+", t)), repr(t)
+
+
+def test_numbers_that_do_not_fit(spark):
+    digits = ["", "g", "0", "ff", "7fffffffffffffff", "ffffffffffffffff", "1" + "0" * 40, "0000000000000000000000001"]
+    out = spark.createDataFrame([(d,) for d in digits], "s string").select(text.hexadecimal(F.col("s")).alias("h")).collect()
+    assert [r["h"] for r in out] == [None, None, 0, 255, 2**63 - 1, None, None, 1]
+
+
+def test_null_rows_in_segments(spark):
+    """A null comparison is not true: nothing is lost, and a null is the same as a null only if the rule says so."""
+    seq = Seq(ints(spark, [None, None, 3, None, None, 4]), ["ord"])
+    assert listed(seq.split_by(F.col("x") == 3)) == [None, None, None, None, 4]
+    assert listed(seq.split_by(F.col("x") == 3), value="segment") == [0, 0, 1, 1, 1]
+    assert listed(seq.groups_rolling_by(lambda p, x: p.eqNullSafe(x), F.col("x")), value="group") == [0, 0, 1, 2, 2, 3]
+    assert listed(seq.groups_rolling_by(lambda p, x: p == x, F.col("x")), value="group") == [0, 1, 2, 3, 4, 5]
+    keyed = Seq(ints(spark, [None, 1, 1, None, 2]).withColumn("k", F.lit(1)), ["ord"], ["k"])
+    assert listed(keyed.running_distinct("n", "x"), value="n") == [0, 1, 1, 1, 2]
+    assert listed(Seq(keyed.df, ["ord"]).running_distinct("n", "x"), value="n") == [0, 1, 1, 1, 2]
+
+
+def test_state_across_batches(spark):
+    """A key's rows over many Arrow batches, null keys among them, against plain Python."""
+    rng = random.Random(14)
+    rows = [(k, i, rng.randint(-5, 5)) for k in (None, 1, 2, 3) for i in range(rng.randint(50, 90))]
+    df = spark.createDataFrame(rows, "k long, i long, x long").repartition(7)
+
+    def running_maximum(state, columns):
+        out = []
+        for x in columns["x"].to_pylist():
+            state = x if state is None else max(state, x)
+            out.append(state)
+        return state, {"m": out}
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        out = stateful.scan_sorted(df, ["k"], ["i"], running_maximum, {"m": T.LongType()}).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for k, i, _ in rows:
+        want[k, i] = max(x for a, b, x in rows if a == k and b <= i)
+    assert {(r["k"], r["i"]): r["m"] for r in out} == want and len(out) == len(rows)
+
+
+def test_parsers_of_text(spark):
+    df = spark.createDataFrame([("say \"a b\"  'it is' x\\ y",), ("",), ("\"open",)], "s string")
+    words = [r["w"] for r in df.select(parsers.words_with_quotes(F.col("s")).alias("w")).collect()]
+    assert words == [["say", "a b", "it is", "x y"], [], []]
+    # a part never gives back what it has taken
+    greedy = parsers.chars_in("ab").many() + parsers.char("b")
+    assert not df.select(greedy.parse(F.lit("aab"))["ok"].alias("ok")).first()["ok"]
+
+
+def test_directories(spark, tmp_path):
+    (tmp_path / "d" / "e").mkdir(parents=True)
+    for name, data in (("a.bin", bytes(range(100))), ("d/b.txt", b"x;y;z;"), ("d/e/c", b"")):
+        (tmp_path / name).write_bytes(data)
+    names = lambda **how: sorted(r["name"] for r in files.list_directory(spark, str(tmp_path), **how).collect())
+    assert names() == ["a.bin", "b.txt", "c", "d", "e"] and names(recursive=False) == ["a.bin", "d"]
+    assert names(only="dirs") == ["d", "e"] and names(only="files") == ["a.bin", "b.txt", "c"]
+    assert files.list_directory(spark, str(tmp_path / "none"), ignore_missing=True).count() == 0
+    part = files.read_range(spark, str(tmp_path / "a.bin"), 10, 42, 9).orderBy("at").collect()
+    assert b"".join(bytes(r["chunk"]) for r in part) == bytes(range(10, 43)) and part[-1]["at"] == 37
+    assert [r["byte"] for r in files.read_bytes(spark, str(tmp_path / "a.bin")).orderBy("at").collect()] == list(range(100))
+    assert [r["value"] for r in files.read_records(spark, str(tmp_path / "d" / "b.txt"), ";").collect()] == ["x", "y", "z"]
+
+
+def test_tick_stream(spark):
+    assert sessions.tick_stream(spark).isStreaming and set(sessions.tick_stream(spark).columns) == {"timestamp", "value"}
 
 
 def test_array_functions(spark):
@@ -89,10 +204,18 @@ def test_rolling_hash_depends_on_order(spark):
 
 
 def test_fixed_sessions(spark):
-    rows = [(k, i, t) for k in (1, 2) for i, t in enumerate([0, 1, 2, 3, 4, 7, 8])]
+    """Against a plain loop, with ties and rows without a time."""
+    rng = random.Random(15)
+    rows = [(k, i, rng.choice([None, *range(40)])) for k in (1, 2, 3) for i in range(60)]
     df = spark.createDataFrame(rows, "k long, i long, s long").withColumn("ts", F.timestamp_seconds("s"))
-    out = sessions.fixed_sessions(df, ["k"], "ts", "i", 3)
-    assert [r["session"] for r in out.filter("k = 1").orderBy("i").collect()] == [0, 0, 0, 1, 1, 2, 2]
+    got = {(r["k"], r["i"]): r["session"] for r in sessions.fixed_sessions(df, ["k"], "ts", "i", 7).collect()}
+    for k in (1, 2, 3):
+        anchor, number = None, -1
+        for s, i in sorted((s, i) for a, i, s in rows if a == k and s is not None):
+            if anchor is None or s - anchor >= 7:
+                anchor, number = s, number + 1
+            assert got[k, i] == number
+        assert all(got[k, i] is None for a, i, s in rows if a == k and s is None)
 
 
 def test_files(spark, tmp_path):

@@ -15,13 +15,30 @@ def words(s: Column) -> Column:
     return F.filter(F.split(s, _SPACE), lambda w: w != "")
 
 
+def count_words(s: Column) -> Column:
+    """How many words: each is replaced by one character, without making arrays."""
+    return (F.octet_length(F.regexp_replace(s, r"^\s+|\S+\s*", "x")) - s.rlike(r"^\s").cast("int")).cast("long")
+
+
+def count_lines(s: Column) -> Column:
+    """How many lines: newlines, and a last line that has none."""
+    ended = F.endswith(s, F.lit("\n")) | (s == "")
+    return (F.octet_length(s) - F.octet_length(F.replace(s, F.lit("\n"), F.lit(""))) + F.when(ended, 0).otherwise(1)).cast("long")
+
+
+def word_counts(df, column: str, word: str = "word", n: str = "n"):
+    """Each word of a text column with its count; words are counted in each task before they are shuffled."""
+    each = df.select(F.explode(F.split(F.col(column), _SPACE)).alias(word))
+    return each.filter(F.col(word) != "").groupBy(word).agg(F.count("*").alias(n))
+
+
 def unwords(a: Column) -> Column:
     return F.array_join(a, " ")
 
 
 def lines(s: Column) -> Column:
     """Lines ended by newline; a last line need not be."""
-    whole = F.split(F.regexp_replace(s, "\n$", ""), "\n")
+    whole = F.split(F.regexp_replace(s, r"\n\z", ""), "\n", -1)
     return F.when(s == "", F.array().cast("array<string>")).otherwise(whole)
 
 
@@ -59,7 +76,9 @@ def decimal(s: Column) -> Column:
 
 
 def hexadecimal(s: Column) -> Column:
-    return F.conv(F.regexp_extract(s, "^[0-9A-Fa-f]+", 0), 16, 10).cast("long")
+    """Null for no digits and for more than 63 bits."""
+    digits = F.regexp_extract(s, "^0*([0-9A-Fa-f]+)", 1)
+    return F.when((F.length(digits) > 0) & (F.length(digits) <= 16), F.conv(digits, 16, 10).try_cast("long"))
 
 
 def signed(s: Column) -> Column:

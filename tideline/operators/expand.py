@@ -19,6 +19,32 @@ def separated(df: DataFrame, items: Column, separator: Column, ends: bool = Fals
     return concat_map(df, each, value, at)
 
 
+def ended(df: DataFrame, items: Column, end: Column, value: str = "value", at: str = "inner") -> DataFrame:
+    """Every row's items, and one more after them."""
+    return concat_map(df, F.concat(items, F.array(end)), value, at)
+
+
+def nested_orders(df: DataFrame, items: Column, outer: str, some: Column | None = None, value: str = "value") -> DataFrame:
+    """Every row's items with the columns that other orders of them sort by.
+
+    Depth first: (outer, inner).  Breadth first: (breadth, outer).  Fair: (diagonal,
+    outer).  Alternating: (breadth, alternate), each level the other way round.
+    """
+    each = concat_map(df if some is None else df.filter(some), items, value)
+    i = F.col("inner")
+    return each.withColumns({"breadth": i, "diagonal": F.col(outer) + i, "alternate": F.when(i % 2 == 0, F.col(outer)).otherwise(-F.col(outer))})
+
+
+def tree_orders(tree: DataFrame) -> DataFrame:
+    """iterate_tree's rows with their places depth first, breadth first, and breadth first with levels reversed."""
+    from ..seq import Seq
+
+    out = Seq(tree, ["path"]).indexed("depth_first")
+    out = Seq(out, ["level", "path"]).indexed("breadth_first")
+    level = out.groupBy("level").agg(F.min("breadth_first").alias("__a"), F.max("breadth_first").alias("__b"))
+    return out.join(level, "level").withColumn("breadth_reversed", F.col("__a") + F.col("__b") - F.col("breadth_first")).drop("__a", "__b")
+
+
 def iterate_tree(edges: DataFrame, roots: DataFrame, parent: str = "parent", child: str = "child", depth: int | None = None) -> DataFrame:
     """(node, level, path) of everything reachable in a tree, by one join a level.
 

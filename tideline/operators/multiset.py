@@ -25,6 +25,16 @@ def theta_join(left: DataFrame, right: DataFrame, on: Column, how: str = "inner"
     return left.join(right, on, how)
 
 
+#: Bytes of a side that is sent to every task, at most.
+BROADCAST = 64 << 20
+
+
+def cross(left: DataFrame, right: DataFrame) -> DataFrame:
+    """All pairs, which is the feature; the right side is sent whole only if its plan's size is below BROADCAST."""
+    small = int(str(right._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST
+    return left.crossJoin(F.broadcast(right) if small else right)
+
+
 def map_join(left: DataFrame, right: DataFrame, keys: Sequence[str], order: Sequence[str], how: str = "inner") -> DataFrame:
     """Join with a right side that holds one row a key, the last; a full join does so on both sides."""
     if how == "full":

@@ -239,11 +239,6 @@ def distinct_first(read, spark):
     return multiset.first_of_each(read("lineitem").select("l_partkey", "l_orderkey"), ["l_partkey"], ["l_orderkey"])
 
 
-@query("SELECT a.n_name AS l, b.r_name AS r FROM nation a CROSS JOIN region b")
-def cross(read, spark):
-    return read("nation").select(F.col("n_name").alias("l")).crossJoin(F.broadcast(read("region").select(F.col("r_name").alias("r"))))
-
-
 @query("SELECT n_nationkey, r_regionkey, i + j AS diagonal FROM (SELECT n_nationkey, row_number() over (order by n_nationkey) - 1 AS i FROM nation) CROSS JOIN (SELECT r_regionkey, row_number() over (order by r_regionkey) - 1 AS j FROM region)")
 def fair_cross_diagonal(read, spark):
     out = fair_cross(Seq(read("nation").select("n_nationkey"), ["n_nationkey"]), Seq(read("region").select("r_regionkey"), ["r_regionkey"]))
@@ -319,9 +314,9 @@ def index_end_by(read, spark):
     return out.groupBy("segment").agg(F.min("i").alias("start"), F.count("*").alias("length"))
 
 
-@query("SELECT doc_id, CAST(length(text) - length(replace(text, '. ', '.')) + 1 AS BIGINT) AS parts FROM documents WHERE text <> ''")
+@query("SELECT doc_id, CAST(length(text) - length(replace(text, '. ', '.')) + 1 AS BIGINT) AS parts FROM documents WHERE text <> '' UNION ALL SELECT doc_id, CASE WHEN text = '' THEN 0 END FROM documents WHERE text IS NULL OR text = ''")
 def split_sep_by_sequence(read, spark):
-    return read("documents").filter("text <> ''").select("doc_id", F.size(text.split_sep_by_seq(F.col("text"), ". ")).cast("long").alias("parts"))
+    return read("documents").select("doc_id", F.size(text.split_sep_by_seq(F.col("text"), ". ")).cast("long").alias("parts"))
 
 
 # 2.8 and 2.14 running aggregates
@@ -345,8 +340,7 @@ def running_total_without_keys(read, spark):
 
 @query("SELECT event_id, CAST((SELECT count(DISTINCT e.event_type) FROM events e WHERE e.user_id = events.user_id AND (e.ts, e.event_id) <= (events.ts, events.event_id)) AS BIGINT) AS kinds FROM events")
 def running_count_distinct(read, spark):
-    seq = events(read, "event_type")
-    return seq.df.select("event_id", F.size(F.collect_set("event_type").over(seq.upto())).cast("long").alias("kinds"))
+    return events(read, "event_type").running_distinct("kinds", "event_type").select("event_id", "kinds")
 
 
 # 2.9 and 2.10 folds
@@ -371,12 +365,12 @@ def tee_pricing_summary(read, spark):
 
 @query("SELECT o_totalprice, o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 def top(read, spark):
-    return read("orders").select("o_totalprice", "o_orderkey").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10)
+    return agg.top(read("orders").select("o_totalprice", "o_orderkey"), 10, [F.desc("o_totalprice"), F.asc("o_orderkey")])
 
 
 @query("SELECT o_totalprice, o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 10")
 def bottom(read, spark):
-    return read("orders").select("o_totalprice", "o_orderkey").orderBy("o_totalprice", "o_orderkey").limit(10)
+    return agg.top(read("orders").select("o_totalprice", "o_orderkey"), 10, [F.asc("o_totalprice"), F.asc("o_orderkey")])
 
 
 @query("SELECT count(*) FILTER (l_quantity > 25) AS big, count(*) FILTER (NOT l_quantity > 25) AS small, CAST(sum(l_orderkey) FILTER (l_quantity > 25) AS BIGINT) AS big_keys FROM lineitem")
@@ -475,24 +469,18 @@ def drop_interval(read, spark):
     return sessions.take_interval(events(read), "ts", 86400, drop=True).select("user_id", "event_id")
 
 
-@query(None)
-def fixed_sessions(read, spark):
-    """Sequential by nature; tests/test_seq.py holds it against one fixture of written-out values."""
-    return sessions.fixed_sessions(read("events").select("user_id", "ts", "event_id"), ["user_id"], "ts", "event_id", 6 * 3600).select("user_id", "event_id", "session")
-
-
 # 2.20 to 2.22 functions
 
 
-@query("SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS BIGINT) AS words, CAST(len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS BIGINT) AS lines, strlen(text) AS bytes FROM documents WHERE text <> ''")
+@query("SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS BIGINT) AS words, CASE WHEN text = '' THEN 0 ELSE CAST(len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS BIGINT) END AS lines, strlen(text) AS bytes FROM documents")
 def count_lines_words_bytes(read, spark):
     t = F.col("text")
-    return read("documents").filter("text <> ''").select("doc_id", F.size(text.words(t)).cast("long").alias("words"), F.size(text.lines(t)).cast("long").alias("lines"), F.octet_length(t).cast("long").alias("bytes"))
+    return read("documents").select("doc_id", text.count_words(t).alias("words"), text.count_lines(t).alias("lines"), F.octet_length(t).cast("long").alias("bytes"))
 
 
 @query("SELECT word, count(*) AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS word FROM documents) GROUP BY 1")
 def word_frequency(read, spark):
-    return read("documents").select(F.explode(text.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return text.word_counts(read("documents"), "text")
 
 
 @query("SELECT vec_id, embedding[1] AS head, embedding[64] AS latest, CAST(len(list_filter(embedding, lambda x: x > 0)) AS BIGINT) AS positive, embedding[33] AS chunk_head FROM embeddings")

@@ -54,18 +54,21 @@ class Seq:
             self._blocks = staged(parted, "blocks")
         return self._blocks
 
-    def running(self, name: str, value: Column, kind: str = "sum", exclusive: bool = False) -> DataFrame:
-        """Running sum, min or max of value (sum is 0 and min, max null before the first row)."""
-        fold = {"sum": F.sum, "min": F.min, "max": F.max}[kind]
-        join = {"sum": lambda a, b: a + b, "min": F.least, "max": F.greatest}[kind]
-        window = self.by().rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+    def running(self, name: str, value: Column, kind: str = "sum", exclusive: bool = False, reverse: bool = False) -> DataFrame:
+        """Running sum, min, max or product of value (sum is 0, the others null before the first row).
+
+        reverse: over the rows after, from the last one back.
+        """
+        fold = {"sum": F.sum, "min": F.min, "max": F.max, "product": F.product}[kind]
+        join = {"sum": lambda a, b: a + b, "min": F.least, "max": F.greatest, "product": lambda a, b: F.coalesce(a, F.lit(1)) * F.coalesce(b, F.lit(1))}[kind]
+        window = self.by(reverse).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
         own = fold(value).over(window)
         if self.keys:
             return self.df.withColumn(name, F.coalesce(own, F.lit(0)) if kind == "sum" else own)
         df = self.blocks()
         # one row for each block
         totals = df.groupBy(BLOCK).agg(fold(value).alias("__total"))
-        before = totals.select(BLOCK, fold("__total").over(Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+        before = totals.select(BLOCK, fold("__total").over(Window.orderBy(F.desc(BLOCK) if reverse else F.asc(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
         out = df.withColumn(name, own).join(F.broadcast(before), BLOCK)
         zero = (lambda c: F.coalesce(c, F.lit(0))) if kind == "sum" else (lambda c: c)
         return out.withColumn(name, join(zero(F.col(name)), zero(F.col("__before")))).drop(BLOCK, "__before")
@@ -80,6 +83,15 @@ class Seq:
             out = out.crossJoin(F.broadcast(n)).withColumn(name, F.col("__n") - 1 - F.col(name)).drop("__n")
         return out
 
+    def running_distinct(self, name: str, value: str) -> DataFrame:
+        """How many different values (null is none) have come so far: first occurrences, added up."""
+        if not self.keys:
+            firsts = self.df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.min(F.struct(*self.order)).alias("__r")).select("__r.*", F.lit(1).alias("__first"))
+            return self.like(self.df.join(firsts, self.order, "left")).running(name, F.coalesce("__first", F.lit(0)).cast("long")).drop("__first")
+        nth = F.row_number().over(Window.partitionBy(*self.keys, value).orderBy(*self.order))
+        flagged = self.df.withColumn("__first", F.when(F.col(value).isNotNull() & (nth == 1), 1).otherwise(0).cast("long"))
+        return flagged.withColumn(name, F.sum("__first").over(self.upto())).drop("__first")
+
     # filters and trims: SURVEY 2.3
 
     def _trim(self, name: str, df: DataFrame, keep: Column) -> DataFrame:
@@ -120,6 +132,26 @@ class Seq:
         out = self.running("__f", hit)
         return self._trim("__f", out, ~F.coalesce(p & (F.col("__f") == 1), F.lit(False)))
 
+    def drop_last(self, n: int) -> DataFrame:
+        return self._trim("__i", self.indexed("__i", reverse=True), F.col("__i") >= n)
+
+    def take_last(self, n: int) -> DataFrame:
+        if not self.keys:
+            return self.df.orderBy(*(F.desc(c) for c in self.order)).limit(n)
+        return self._trim("__i", self.indexed("__i", reverse=True), F.col("__i") < n)
+
+    def drop_while_last(self, p: Column) -> DataFrame:
+        """Without the longest run of rows at the end that p holds for."""
+        return self._trim("__f", self.running("__f", F.when(p, 0).otherwise(1), reverse=True), F.col("__f") > 0)
+
+    def drop_while_around(self, p: Column) -> DataFrame:
+        return self.like(self.drop_while(p)).drop_while_last(p)
+
+    def modify_last(self, name: str, value: Column) -> DataFrame:
+        """The column replaced in the last row."""
+        out = self.indexed("__i", reverse=True)
+        return out.withColumn(name, F.when(F.col("__i") == 0, value).otherwise(F.col(name))).drop("__i")
+
     def at(self, n: int) -> DataFrame:
         return self._trim("__i", self.indexed("__i"), F.col("__i") == n)
 
@@ -164,15 +196,16 @@ class Seq:
 
     def split_by(self, p: Column, name: str = "segment") -> DataFrame:
         """Rows between separators, numbered by the separators before them; separators themselves go."""
-        return self.running(name, F.when(p, 1).otherwise(0).cast("long")).filter(~p)
+        return self.running(name, F.when(p, 1).otherwise(0).cast("long")).filter(~F.coalesce(p, F.lit(False)))
 
     def end_by(self, p: Column, name: str = "segment") -> DataFrame:
         """Segments that end with the row p holds for."""
         return self.running(name, F.when(p, 1).otherwise(0).cast("long"), exclusive=True)
 
     def groups_rolling_by(self, same: "callable", value: Column, name: str = "group") -> DataFrame:
-        out = self.like(self.lagged("__p", value))
-        start = F.col("__p").isNull() | ~same(F.col("__p"), value)
+        """Numbers the runs in which each row is the same as the one before; a comparison that gives null is not."""
+        out = self.like(self.lagged("__p", F.struct(value.alias("v"))))
+        start = F.col("__p").isNull() | ~F.coalesce(same(F.col("__p.v"), value), F.lit(False))
         return out.running(name, F.when(start, 1).otherwise(0).cast("long")).withColumn(name, F.col(name) - 1).drop("__p")
 
 

@@ -7,10 +7,14 @@ The same functions serve batch and, where they only use event-time windows
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..operators.stateful import scan_sorted
 from ..seq import Seq
 
 
@@ -66,25 +70,65 @@ def take_interval(seq: Seq, ts: str, seconds: float, drop: bool = False) -> Data
     return out.filter(~inside if drop else inside).drop("__t")
 
 
-def fixed_sessions(df: DataFrame, keys: Sequence[str], ts: str, order: str, seconds: float) -> DataFrame:
+def _fixed(state, columns, limit: int):
+    """Sessions of one key's sorted times; state: the session's first time and its number."""
+    times = columns["__us"].to_numpy(zero_copy_only=False)
+    anchor, number = state or (None, -1)
+    out = np.empty(len(times), np.int64)
+    at = 0
+    while at < len(times):
+        if anchor is None or times[at] - anchor >= limit:
+            anchor, number = int(times[at]), number + 1
+        end = at + int(np.searchsorted(times[at:], anchor + limit))
+        out[at:end] = number
+        at = end
+    return (anchor, number), {"session": out}
+
+
+def fixed_sessions(df: DataFrame, keys: Sequence[str], ts: str, order: str, seconds: float, name: str = "session") -> DataFrame:
     """Numbers sessions of a fixed duration, each anchored at its first event (after the end of the one before).
 
-    Sequential within a key: one pass over the key's sorted times, in Arrow batches.
+    Sequential within a key: one pass over the key's sorted times, a step for each
+    session.  Rows without a time have no session.
     """
-    from ..shipping import ship
-
-    limit = int(seconds * 1e6)
-    ship(df.sparkSession)
-    slim = df.select(*keys, order, micros(F.col(ts)).alias("__us"))
-    schema = f"{', '.join(f'{k} {df.schema[k].dataType.simpleString()}' for k in keys)}, {order} {df.schema[order].dataType.simpleString()}, session long"
-
-    def run(pdf):
-        pdf = pdf.sort_values(["__us", order])
-        anchor, number, out = None, -1, []
-        for t in pdf["__us"]:
-            if anchor is None or t - anchor >= limit:
-                anchor, number = t, number + 1
-            out.append(number)
-        return pdf.assign(session=out)[[*keys, order, "session"]]
-
-    return df.join(slim.groupBy(*keys).applyInPandas(run, schema), [*keys, order])
+    timed = df.withColumn("__us", micros(F.col(ts)))
+    out = scan_sorted(timed.filter("__us IS NOT NULL"), keys, ["__us", order], partial(_fixed, limit=int(seconds * 1e6)), {"session": T.LongType()})
+    rest = timed.filter("__us IS NULL").withColumn("session", F.lit(None).cast("long"))
+    return out.unionByName(rest).drop("__us").withColumnRenamed("session", name)
+
+
+def timed_groups(seq: Seq, ts: str, n: int, seconds: float, name: str = "group") -> DataFrame:
+    """Numbers groups that end after n events, or so many seconds after their first."""
+    timed = seq.df.withColumn("__us", micros(F.col(ts)))
+    return scan_sorted(timed, seq.keys, seq.order, partial(_timed, n=n, limit=int(seconds * 1e6)), {"group": T.LongType()}).drop("__us").withColumnRenamed("group", name)
+
+
+def _timed(state, columns, n: int, limit: int):
+    """State: the group's first time, its number and how many it has."""
+    times = columns["__us"].to_numpy(zero_copy_only=False)
+    anchor, number, has = state or (None, -1, 0)
+    out = np.empty(len(times), np.int64)
+    at = 0
+    while at < len(times):
+        if anchor is None or has == n or times[at] - anchor >= limit:
+            anchor, number, has = int(times[at]), number + 1, 0
+        end = min(at + int(np.searchsorted(times[at:], anchor + limit)), at + n - has)
+        out[at:end] = number
+        has += end - at
+        at = end
+    return (anchor, number, has), {"group": out}
+
+
+def ticks(spark: SparkSession, start: str, end: str, every: str, name: str = "ts") -> DataFrame:
+    """Times from start to end, so far apart."""
+    return spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"), F.expr(f"interval {every}"))).alias(name))
+
+
+def tick_stream(spark: SparkSession, rows_per_second: int = 1) -> DataFrame:
+    """An unbounded stream of ticks (timestamp, value)."""
+    return spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
+
+
+def interjected(df: DataFrame, ts: str, marks: DataFrame, mark: str = "mark") -> DataFrame:
+    """The rows and those of marks (times) in one, told apart by ``mark``; columns that marks lack are null."""
+    return df.withColumn(mark, F.lit(False)).unionByName(marks.withColumn(mark, F.lit(True)), allowMissingColumns=True)
