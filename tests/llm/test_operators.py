@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -68,6 +69,19 @@ def test_secrets(spark, empty):
     assert secret_scan.scan(empty, RANKS, P.PATTERN).count() == 0
 
 
+def test_assigned_digests_and_short_runs(spark):
+    """A digest's shape alone is no secret, as the value of a secret's name it is; base spans stay as they are."""
+    digest = hashlib.sha1(b"x").hexdigest()
+    rows = [(0, f"commit {digest} fixes it"), (1, f'token = "{digest}" here'), (2, "key 7Gx9Qp2LzV4tRw8K end"), (3, "word thingonaterestion end"), (4, f"{'n ' * 100_000}token={digest}"), (4, f"{'n ' * 100_000}token={digest}")]
+    got = secret_scan.scan(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, spans int"), RANKS, P.PATTERN).collect()
+    out = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in got}
+    assert len(got) == 6 and out[0] == [("hex", 7, 47)] and out[3] == []
+    assert out[1] == [("assign", 0, 49), ("hex", 9, 49), ("random", 9, 49)] and out[2] == [("random", 4, 20)]
+    assert out[4] == [("assign", 200_000, 200_046), ("random", 200_000, 200_046), ("hex", 200_006, 200_046)]
+    for r in got:
+        assert [tuple(s) for s in r["base_spans"]] == [x for x in out[r["doc_id"]] if x[0] != "random"]
+
+
 def test_random_runs(spark):
     rng = random.Random(1)
     key = lambda letters, n: "".join(rng.choices(letters, k=n))
@@ -157,10 +171,34 @@ def test_sharding(docs, empty, texts):
         slots[r["shard"]].append(r["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert shards.assign(empty, 4).count() == 0
+    together = collections.defaultdict(set)
+    for r in rows:
+        together[texts[r["doc_id"]] or ""].add(r["shard"])
+    assert all(len(s) == 1 for t, s in together.items() if len(t) < 1000)
     sums, held = shards.difference([[(s, s)] for s in (8, 7, 6, 5, 4)], 2)
     assert sorted(sums) == [14, 16] and sorted(sum(held, [])) == [4, 5, 6, 7, 8]
 
 
+def test_sharding_in_levels(spark, monkeypatch):
+    """Many buckets combined in several levels: sizes nearly equal, equal texts together, a group beyond a share cut."""
+    monkeypatch.setattr(shards, "BUCKET", 100)
+    monkeypatch.setattr(shards, "TOP", 200)
+    rng = random.Random(3)
+    texts = [sentence(rng, rng.randint(1, 200)) for _ in range(700)]
+    texts += texts[:150] + ["x" * 50] * 3000 + [sentence(rng, 20_000)]
+    df = spark.createDataFrame([(i, t, "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, shard string, slot int").repartition(5)
+    rows = shards.assign(df, 5).collect()
+    total, size, held, slots = sum(len(t) + 8 for t in texts), collections.Counter(), collections.defaultdict(set), collections.defaultdict(list)
+    for r in rows:
+        size[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+        held[texts[r["doc_id"]]].add(r["shard"])
+    assert len(rows) == len(texts) and set(size) == set(range(5))
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(size.values()) - min(size.values()) <= 0.001 * total
+    assert all(len(s) == 1 for t, s in held.items() if t != "x" * 50)
+
+
 def test_language(spark, empty):
     rng = random.Random(1)
     make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(30))
@@ -235,6 +273,54 @@ def test_repeats(docs, empty, texts):
     assert repeats.remove(empty).count() == 0
 
 
+def brute_repeats(texts, length):
+    """The bytes kept of each text."""
+    counts = collections.Counter()
+    for t in texts:
+        counts.update(t[k : k + length] for k in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - length + 1):
+            if counts[t[k : k + length]] > 1:
+                gone[k : k + length] = True
+        out.append((bytes(np.frombuffer(t, np.uint8)[~gone]), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum())))
+    return out
+
+
+@pytest.mark.parametrize(("hot", "wide"), [(50, 100), (50, 10_000), (4096, 10_000)])
+def test_repeats_of_a_hot_gram(spark, monkeypatch, hot, wide):
+    """A line in thousands of different contexts, some of them shared in part; through buckets and as a hot gram."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "WIDE", wide)
+    monkeypatch.setattr(repeats, "HELD", 500)
+    rng = random.Random(9)
+    line, before, after = (sentence(rng, 12)[:40] for _ in range(3))
+    texts = []
+    for k in range(2500):
+        cut = rng.randint(0, 40)
+        texts.append(f"{k:x} {before[cut:] if k % 3 else sentence(rng, 3)}{line}{after[: 40 - cut] if k % 5 else sentence(rng, 4)} {k * 7919:x}")
+    texts += [line * 3, sentence(rng, 400) + line + sentence(rng, 400), None, "", line]
+    df = spark.createDataFrame([(i, t, 0, "x") for i, t in enumerate(texts)], "doc_id long, text string, s int, who string").repartition(6)
+    want = brute_repeats([(t or "").encode() for t in texts], 60)
+    got = {r["doc_id"]: r for r in repeats.remove(df, 60, 24).collect()}
+    assert len(got) == len(texts) and sum(n for _, n in want) > 1000
+    for i, (kept, n) in enumerate(want):
+        assert (bytes(got[i]["kept"]), len(got[i]["removed"])) == (kept, n), texts[i]
+
+
+def test_repeats_of_a_long_text(spark):
+    """Texts longer than a chunk, with repeats across its borders."""
+    rng = random.Random(10)
+    part = sentence(rng, 60)
+    long = sentence(rng, 200_000)
+    assert len(long) > repeats.CHUNK
+    texts = [long[: repeats.CHUNK - 100] + part + long[repeats.CHUNK - 100 :] + part, sentence(rng, 500) + part, "a" * 12_000]
+    want = brute_repeats([t.encode() for t in texts], 60)
+    got = sorted(repeats.remove(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 60, 24).collect())
+    assert [(bytes(r["kept"]), len(r["removed"])) for r in got] == want
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((150, 64))
@@ -251,6 +337,42 @@ def test_embeddings(spark):
     assert out[210]["component_id"] == 0 and not out[210]["kept"]
 
 
+def linked(vectors):
+    """Links and smallest reachable id of each vector, by all pairs."""
+    v = np.array(vectors, np.float64)
+    v /= np.abs(v).max(1, keepdims=True)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    near = v @ v.T >= 0.95
+    root = np.arange(len(v))
+    for _ in v:
+        root = np.where(near, root, len(v)).min(1)
+    return near.sum(1) - 1, root
+
+
+def test_embeddings_odd_rows(spark, empty):
+    """Null, empty, uneven, infinite, tiny and huge vectors, repeated ids, an empty table, a clashing column."""
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal(64)
+    rows = [v, 1.01 * v, 1e-200 * v, 1e200 * v, 1e-170 * v, -v, v[:32], v[:32] * 3, v[:5], v[:5] * 2]
+    rows = [(i, r.tolist(), 0) for i, r in enumerate(rows)] + [(20, [], 1), (21, [1.0, None], 1), (22, [math.inf, 1.0], 1), (23, [0.0, 0.0], 1), (24, None, 1), (0, v.tolist(), 1)]
+    out = caps.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, links int")).collect()
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in out)
+    assert got == [(0, 5, 0, True), (0, 5, 0, True), *((i, 5, 0, False) for i in (1, 2, 3, 4)), (5, 0, 5, True), (6, 1, 6, True), (7, 1, 6, False), (8, 1, 8, True), (9, 1, 8, False), *((i, 0, i, True) for i in (20, 21, 22, 23, 24))]
+    assert caps.links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_embeddings_in_a_large_group(spark, monkeypatch):
+    """A group of near copies over several blocks of its filters: every link is counted once."""
+    monkeypatch.setattr(caps, "BLOCK", 40)
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((3, 64))
+    near = [base[k % 3] + 0.1 * rng.standard_normal(64) for k in range(400)]
+    rows = [np.float32(r).tolist() for r in [*base, *near, *rng.standard_normal((100, 64)), base[0], base[0]]]
+    out = sorted(caps.links(spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<float>")).collect())
+    links, root = linked(rows)
+    assert [r["n_links"] for r in out] == links.tolist() and [r["component_id"] for r in out] == root.tolist()
+
+
 @pytest.mark.parametrize("blocks", [2, 3, 4])
 def test_embeddings_near_the_threshold(spark, blocks):
     rng = np.random.default_rng(7)
@@ -277,6 +399,33 @@ def test_pii(spark, empty):
     assert pii.find(empty).count() == 0
 
 
+def test_pii_adds_spans(spark):
+    """The classifier finds personal data beyond the base patterns, leaves the rest, and keeps base spans."""
+    rows = [("call me on (202) 555-0143 now", "(202) 555-0143"), ("her ssn is 123-45-6789 ok", "123-45-6789"), ("konto DE89 3704 0044 0532 0130 00 bitte", "DE89 3704 0044 0532 0130 00")]
+    rows += [("write to jane.doe [at] example [dot] com please", "jane.doe [at] example [dot] com"), ("mail a@b.com or +1 (202) 555-0143", None)]
+    rows += [(t, None) for t in ("see page 12, 03/11/2014 was cold", "part 000-45-6789 of build 7", "version 102.555.0143 of it", "room 101-202 and 12.5 litres", "ship 10.2.3.4 x")]
+    data = [(i, t, "x", 1) for i, (t, _) in enumerate(rows * 3)] + [(0, rows[0][0], "x", 1)]
+    out = pii.find(spark.createDataFrame(data, "doc_id long, text string, spans string, form int")).collect()
+    assert len(out) == len(data)
+    for r in out:
+        text, want = rows[r["doc_id"] % len(rows)]
+        spans = [(s["kind"], text[s["start"] : s["end"]]) for s in r["spans"]]
+        assert [s for s in spans if s[0] == "other"] == ([("other", want)] if want else []), text
+        assert r["spans"][: len(r["base_spans"])] == r["base_spans"] and all(k != "other" for k, _ in spans[: len(r["base_spans"])])
+
+
+def test_pii_in_a_long_text(spark):
+    """Thousands of matches in one text, in the right places."""
+    parts = [f"user{i}@mail{i}.com +49 30 1234{i:05d} (202) 555-{i % 9000 + 1000}" for i in range(3000)]
+    text = " ; ".join(parts)
+    (r,) = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    got = collections.defaultdict(list)
+    for s in r["spans"]:
+        got[s["kind"]].append(text[s["start"] : s["end"]])
+    assert got["email"] == [f"user{i}@mail{i}.com" for i in range(3000)]
+    assert [(s["start"], s["end"]) for s in r["base_spans"] if s["kind"] == "email"] == [m.span() for m in re.finditer(r"[a-z0-9]+@[a-z0-9]+\.com", text)]
+
+
 def masked(text):
     """The text with its secrets masked, by the base patterns alone."""
     name = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
@@ -312,6 +461,36 @@ def test_pipeline_without_labels(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.keep_known_language(spark, docs, "").collect()) == [3, 4, 5]
 
 
+def test_pipeline_rejects_by_language(spark):
+    """Labels that are wrong or missing are set to the language found; texts of no known language go."""
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(30))
+    letters = {"en": "aeth", "de": "uzck", "fr": "oiqx"}
+    rows = [(i, make(letters[v]), v if i else "fr", "s", 7) for i, v in enumerate(["en", "de", "fr"] * 30)]
+    rows += [(1000, make(letters["de"]), None, "s", 7), (1001, make("あいう"), None, "s", 7), (1002, None, "en", None, None)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    model = lang_id.fit(spark.createDataFrame(rows, kind))
+    assert set(model.languages) == {"en", "de", "fr"}
+    out = {r["doc_id"]: r["lang"] for r in corpus_pipeline.keep_known_language(spark, spark.createDataFrame(rows, kind), "").collect()}
+    assert out[0] == "en" and out[1000] == "de" and 1002 not in out
+    assert all(out[i] == v for i, _, v, *_ in rows[1:90])
+
+
+def test_pipeline_drops_long_contaminated(spark, tmp_path):
+    """One benchmark window in a long document is enough; a clean one of any length stays."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    item = sentence(rng, 20)
+    rows = [(1, sentence(rng, 3000) + " " + item + " " + sentence(rng, 3000)), (2, sentence(rng, 6000)), (3, " ".join(item.split()[:12])), (4, None), (5, "")]
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(i, t, "en", "s", 7, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, n_hit string")
+    out = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert tuple(out.columns) == corpus_pipeline.COLUMNS and sorted(r["doc_id"] for r in out.collect()) == [2, 3, 4, 5]
+
+
 def test_pipeline(spark):
     """run() against all its stages written plainly, none of them through an operator."""
     import corpus_pipeline
@@ -319,7 +498,17 @@ def test_pipeline(spark):
     folder = "/root/testdata/sf0.001"
     low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
     read = lambda name, key: {r[key]: r["text"] or "" for r in spark.read.parquet(f"{folder}/{name}.parquet").collect()}
-    kept = {i: t for i, t in read("documents", "doc_id").items() if any(c.isalpha() for c in t)}
+    whole = read("documents", "doc_id")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = lang_id.fit(docs)  # a model has no plainer form; its features, votes and scores are taken row by row
+    langs = {}
+    for i, t in whole.items():
+        data = t.encode()
+        x, _ = lang_id.features(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        (found,), (score,) = model.predict(x)
+        if any(c.isalpha() for c in t) and score >= corpus_pipeline.LEAST_SCORE:
+            langs[i] = found
+    kept = {i: whole[i] for i in langs}
 
     sets = {}
     for i, t in kept.items():
@@ -342,7 +531,7 @@ def test_pipeline(spark):
     for i, t in single.items():
         w = words.findall(low(t))
         hit = {p for n in {len(x) for x in windows} for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in windows for p in range(k, k + n)}
-        if not hit or 20 * len(hit) < len(w):
+        if not hit:
             clean[i] = t
 
     reference = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
@@ -350,7 +539,7 @@ def test_pipeline(spark):
     want = set()
     for i, t in clean.items():
         ids = reference.encode_ordinary(masked(t))
-        want.add((i, len(ids), sha(" ".join(map(str, ids)).encode()), sha(masked(t).encode())))
-    got = corpus_pipeline.run(spark, folder).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+        want.add((i, len(ids), sha(" ".join(map(str, ids)).encode()), sha(masked(t).encode()), langs[i]))
+    got = corpus_pipeline.run(spark, folder).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "lang").collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     assert len(kept) > len(single) > len(clean)  # every filter took effect; no clean text of this table holds a secret, see test_masking
