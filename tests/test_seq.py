@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.functions import aggregates, arrays, parsers, text
-from tideline.operators import expand, multiset, stateful
+from tideline.operators import expand, multiset, parallel, stateful
 from tideline.seq import Seq
 from tideline.sources import files
 from tideline.streaming import sessions
@@ -178,6 +178,25 @@ def test_directories(spark, tmp_path):
     assert [r["value"] for r in files.read_records(spark, str(tmp_path / "d" / "b.txt"), ";").collect()] == ["x", "y", "z"]
 
 
+def test_jobs_side_by_side(spark):
+    """Results in order, as they come, and the first one; the others' Spark jobs are cancelled."""
+    jobs = [lambda k=k: spark.range(1000).filter(f"id % 7 = {k}").count() for k in range(5)]
+    want = [len(range(k, 1000, 7)) for k in range(5)]
+    assert parallel.run(jobs, 3) == want and dict(parallel.run_as_completed(jobs, 3)) == dict(enumerate(want))
+
+    def slow():
+        return spark.range(4, numPartitions=4).select(F.sum(F.expr("java_method('java.lang.Thread', 'activeCount')").cast("long") + F.expr("aggregate(sequence(1L, 20000000L), 0L, (a, x) -> a + x)"))).collect()
+
+    assert parallel.run_first(spark, [slow, lambda: spark.range(10).count()]) == (1, 10)
+
+
+def test_bytes_written(spark, tmp_path):
+    chunks = spark.createDataFrame([(i, bytes([i] * i)) for i in range(20)], "i long, chunk binary").repartition(5)
+    path = str(tmp_path / "out.bin")
+    assert files.write_bytes(chunks, "chunk", ["i"], path) == 190
+    assert (tmp_path / "out.bin").read_bytes() == b"".join(bytes([i] * i) for i in range(20))
+
+
 def test_tick_stream(spark):
     assert sessions.tick_stream(spark).isStreaming and set(sessions.tick_stream(spark).columns) == {"timestamp", "value"}
 

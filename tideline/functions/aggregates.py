@@ -207,3 +207,18 @@ def nub(x: Column, order: Column) -> Column:
 def many(df: DataFrame, segments: Sequence[str], inner: Sequence[Column], keys: Sequence[str], outer: Sequence[Column]) -> DataFrame:
     """A fold for each segment, and a fold over the segments' results."""
     return df.groupBy(*keys, *segments).agg(*inner).groupBy(*keys).agg(*outer)
+
+
+def rolling_hash_first(items: Column, n: int, base: int = 1_000_003, salt: int = 0) -> Column:
+    """rolling_hash of the first n items."""
+    return rolling_hash(F.slice(items, F.lit(1), n), base, salt)
+
+
+def folded_map(x: Column, order: Column, f: Callable[[Column], Column], join: Callable[[Column, Column], Column]) -> Column:
+    """The values mapped and joined in order; null for no rows."""
+    return reduced(f(x), order, join)
+
+
+def drain(df: DataFrame) -> None:
+    """Evaluates all rows and keeps none."""
+    df.write.format("noop").mode("overwrite").save()

@@ -126,3 +126,39 @@ def path_file(p: Column) -> Column:
 
 def path_extension(p: Column) -> Column:
     return F.regexp_extract(path_file(p), r"^.+?(\.[^.]+)$", 1)
+
+
+def split_by_one_of(s: Column, patterns: list[str]) -> Column:
+    """Infix split by any of some literals, the longest that fits first; the empty text has no parts."""
+    pattern = "|".join(re.escape(p) for p in sorted(patterns, key=len, reverse=True))
+    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, pattern, -1))
+
+
+def strip_suffix(s: Column, suffix: str) -> Column:
+    """Null if it does not end so."""
+    return F.when(F.endswith(s, F.lit(suffix)), F.left(s, F.length(s) - len(suffix)))
+
+
+def take_until(s: Column, pattern: str, keep: bool = True) -> Column:
+    """Up to and with (or without) the first occurrence of a literal; all if there is none."""
+    at = F.instr(s, pattern)
+    return F.when(at == 0, s).otherwise(F.left(s, at - 1 + F.lit(len(pattern) if keep else 0)))
+
+
+def expand_vars(s: Column, values: Column) -> Column:
+    """``$name`` and ``${name}`` replaced by a map's values, nothing for a name it has not."""
+    names = F.regexp_extract_all(s, F.lit(r"\$(?:\{([A-Za-z_][A-Za-z0-9_]*)\}|([A-Za-z_][A-Za-z0-9_]*))"), F.lit(0))
+    bare = F.transform(names, lambda n: F.regexp_replace(n, r"[${}]", ""))
+    pieces = F.split(s, r"\$(?:\{[A-Za-z_][A-Za-z0-9_]*\}|[A-Za-z_][A-Za-z0-9_]*)", -1)
+    filled = F.transform(bare, lambda n: F.coalesce(F.try_element_at(values, n), F.lit("")))
+    return F.array_join(F.flatten(F.transform(F.arrays_zip(pieces.alias("p"), filled.alias("f")), lambda x: F.array(x["p"], F.coalesce(x["f"], F.lit(""))))), "")
+
+
+def rejoined(df, keys: list[str], order: list[str], chunk: str, end: str, name: str = "record"):
+    """Records of chunked texts that each end with a literal, whatever chunks they lie in: (keys, at, record).
+
+    A key's chunks are put together in one row, so a key's text must fit one.
+    """
+    whole = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(chunk).alias("__c")))).alias("__a"))
+    text = F.array_join(F.transform("__a", lambda x: x["__c"]), "")
+    return whole.select(*keys, F.posexplode(split_end_by_seq(text, end)).alias("at", name))

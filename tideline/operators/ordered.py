@@ -185,3 +185,33 @@ def _near_first(state, columns, value: str, width: float):
 def tapped(df: DataFrame, name: str, *aggs: Column) -> DataFrame:
     """df itself; what the aggregates come to while it is read is reported to query listeners under the name."""
     return df.observe(name, *aggs)
+
+
+def stripped_prefix(left: Seq, prefix: Seq, value: str) -> DataFrame:
+    """Left without the prefix; no rows at all if it does not begin so."""
+    at = difference(left, prefix, value).select(F.col("at").alias("__at"), F.col("order").alias("__o"))
+    n = prefix.df.agg(F.count("*").alias("__n"))
+    rows = left.indexed("__i").crossJoin(F.broadcast(at)).crossJoin(F.broadcast(n))
+    begins = F.col("__at").isNull() | (F.col("__at") >= F.col("__n"))
+    return rows.filter(begins & (F.col("__i") >= F.col("__n"))).drop("__i", "__at", "__o", "__n")
+
+
+def tapped_every(df: DataFrame, name: str, seq: Seq, offset: int, step: int, *aggs: Column) -> DataFrame:
+    """df itself; aggregates over every step-th row from an offset on are reported under the name."""
+    rows = seq.indexed("__i")
+    chosen = (F.col("__i") >= offset) & ((F.col("__i") - offset) % step == 0)
+    return rows.withColumn("__tapped", chosen).observe(name, F.count(F.when(F.col("__tapped"), 1)).alias("n"), *aggs).drop("__i", "__tapped")
+
+
+def time_indexed(seq: Seq, ts: str, name: str = "since") -> DataFrame:
+    """Microseconds since the first row (of each key)."""
+    now = F.unix_micros(F.col(ts).cast("timestamp"))
+    if seq.keys:
+        return seq.df.withColumn(name, now - F.min(now).over(seq.upto()))
+    first = seq.df.agg(F.min(now).alias("__t"))
+    return seq.df.crossJoin(F.broadcast(first)).withColumn(name, now - F.col("__t")).drop("__t")
+
+
+def stamped(df: DataFrame, name: str = "at") -> DataFrame:
+    """Rows with the time of the query."""
+    return df.withColumn(name, F.current_timestamp())

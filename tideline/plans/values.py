@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import arrays, codecs, paths, text
-from .registry import query
+from ..functions import aggregates as agg
+from ..functions import arrays, codecs, paths, text, times, unfolds
+from ..operators import expand, ordered, parallel
+from ..seq import Seq
+from .registry import US, query
 
 _W = "SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS a FROM conversations"
 
@@ -97,3 +100,74 @@ def path_functions(read, spark):
     rows = read("pages").select("page_id", F.regexp_replace("url", "^[a-z]+://[^/]*", "").alias("p")).filter(F.length("p") > 1)
     bare = paths.drop_trailing_separators(p)
     return rows.select("page_id", paths.take_file_name(p).alias("file"), paths.take_directory(p).alias("dir"), paths.take_extension(p).alias("extension"), F.size(paths.split_path(p)).cast("long").alias("parts"), paths.is_rooted(p).alias("rooted"), paths.join(bare, F.lit("a.txt")).alias("joined"), paths.add_trailing_separator(bare).alias("ended"), bare.alias("bare"), paths.equal(p, F.concat(F.lit("/."), p, F.lit("//"))).alias("same"), paths.join(p, F.lit("/x")).alias("refused"), paths.replace_extension(F.lit("a/b.txt"), "html").alias("replaced"))
+
+
+# items of a row
+
+
+_U = "SELECT n_nationkey AS n FROM nation"
+
+
+@query(f"SELECT n, array_to_string(list_transform(range(0, n), lambda i: i * i), ',') AS indices, array_to_string(range(2, n + 1), ',') AS enumerated, array_to_string(range(20, n - 1, -3), ',') AS downward, repeat('x', n) AS replicated, CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END AS optional, array_to_string([3, 7, 15, 31, 63], ',') AS iterated, array_to_string(list_reverse(list_transform(string_split(n::VARCHAR, ''), lambda x: x::BIGINT)), ',') AS unfolded FROM ({_U})")
+def unfold_items(read, spark):
+    n, t = F.col("n_nationkey").cast("long"), lambda a: F.coalesce(F.array_join(a.cast("array<string>"), ","), F.lit(""))
+    zero = F.lit(0).cast("long")
+    digits = unfolds.unfolded(F.struct(n.alias("v"), F.lit(True).alias("first")), 9, lambda s: s["first"] | (s["v"] > 0), lambda s: s["v"] % 10, lambda s: F.struct(F.floor(s["v"] / 10).cast("long").alias("v"), F.lit(False).alias("first")))
+    return read("nation").select(F.col("n_nationkey").alias("n"), t(unfolds.from_indices(n, lambda i: i * i)).alias("indices"), t(unfolds.enumerated(F.lit(2).cast("long"), n)).alias("enumerated"), t(unfolds.enumerated_then(F.lit(20).cast("long"), F.lit(17).cast("long"), n)).alias("downward"), F.array_join(unfolds.replicated(F.lit("x"), F.col("n_nationkey")), "").alias("replicated"), F.size(unfolds.optional(F.when(n % 2 == zero, n))).alias("optional"), t(unfolds.iterated(F.lit(3).cast("long"), 5, lambda x: x * 2 + 1)).alias("iterated"), t(digits).alias("unfolded"))
+
+
+@query(f"SELECT n, array_to_string(flatten(list_transform(range(0, 3), lambda x: list_transform(range(0, n % 4), lambda y: x * 10 + y))), ',') AS crossed, CASE n % 4 WHEN 0 THEN '' WHEN 1 THEN '0,10,20' WHEN 2 THEN '0,1,10,11,20,21' ELSE '0,1,10,2,11,20,12,21,22' END AS fair, array_to_string(list_transform(range(0, least(3, n % 4)), lambda x: x * 11), ',') AS zipped, array_to_string(flatten([[0], [0, 1], [0, 1, 2]]), ',') AS nested, '0,0,0,1,1,2' AS interleaved, '0,1,3,6' AS scanned, n AS first, 4 AS with_input, '0,1' AS taken FROM ({_U})")
+def unfold_combined(read, spark):
+    n = F.col("n_nationkey").cast("long")
+    three = F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))
+    some = F.coalesce(unfolds.from_indices(n % 4, lambda i: i), unfolds.none("bigint"))
+    t = lambda a: F.array_join(a.cast("array<string>"), ",")
+    upto = lambda x: F.sequence(F.lit(0).cast("long"), x)
+    return read("nation").select(F.col("n_nationkey").alias("n"), t(unfolds.crossed(three, some, lambda x, y: x * 10 + y)).alias("crossed"), t(unfolds.fairly_crossed(three, some, lambda x, y: x * 10 + y)).alias("fair"), t(unfolds.zipped(three, some, lambda x, y: x * 10 + y)).alias("zipped"), t(unfolds.each(three, upto)).alias("nested"), t(unfolds.each_interleaved(three, upto)).alias("interleaved"), t(unfolds.scanned(F.transform(three, lambda x: x + 1), F.lit(0).cast("long"), lambda s, x: s + x)).alias("scanned"), unfolds.cons_input(three, n)[0].cast("int").alias("first"), F.size(F.concat(unfolds.with_input(three, n), unfolds.with_input(unfolds.one(n), n))).alias("with_input"), t(unfolds.take_while(three, lambda x: x < 2)).alias("taken"))
+
+
+# more text, times, jobs
+
+
+@query("SELECT o_orderkey, len(string_split_regex(o_orderpriority, '-| ')) AS parts, replace(o_orderpriority, '-', '') || '!' AS filled, CASE WHEN suffix(o_orderpriority, 'H') THEN o_orderpriority[:-2] END AS stripped, CASE WHEN contains(o_orderpriority, '-') THEN o_orderpriority[:strpos(o_orderpriority, '-')] ELSE o_orderpriority END AS until FROM orders")
+def text_splits(read, spark):
+    p = F.col("o_orderpriority")
+    values = F.create_map(F.lit("p"), F.replace(p, F.lit("-"), F.lit("")))
+    return read("orders").select("o_orderkey", F.size(text.split_by_one_of(p, ["-", " "])).cast("long").alias("parts"), text.expand_vars(F.lit("${p}!$none"), values).alias("filled"), text.strip_suffix(p, "H").alias("stripped"), text.take_until(p, "-").alias("until"))
+
+
+@query("SELECT conv_id, i - 1 AS at, record FROM (SELECT conv_id, unnest(l) AS record, generate_subscripts(l, 1) AS i FROM (SELECT conv_id, CASE WHEN suffix(t, '. ') THEN list_slice(string_split(t, '. '), 1, -2) ELSE string_split(t, '. ') END AS l FROM (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS t FROM conversations GROUP BY 1) WHERE t <> ''))")
+def split_inner_by(read, spark):
+    return text.rejoined(read("conversations").select("conv_id", "turn", "text"), ["conv_id"], ["turn"], "text", ". ").select("conv_id", F.col("at").cast("long").alias("at"), "record")
+
+
+@query(f"SELECT event_id, {US} * 1000 AS nanos, ts + INTERVAL 90 seconds AS shifted, {US} - min({US}) over (partition by user_id order by ts, event_id) AS since, {US} - epoch_us(TIMESTAMP '2024-01-01') AS apart, '1.500 m' AS shown FROM events")
+def time_functions(read, spark):
+    seq = Seq(read("events").select("user_id", "ts", "event_id"), ["ts", "event_id"], ["user_id"])
+    ts = F.col("ts")
+    back = times.from_nanos(times.to_nanos(ts))
+    return ordered.time_indexed(seq, "ts").select("event_id", times.to_nanos(ts).alias("nanos"), times.shifted(back, 90_000_000).alias("shifted"), "since", times.difference(ts, F.lit("2024-01-01").cast("timestamp")).alias("apart"), times.shown(F.lit(90_000_000)).alias("shown"))
+
+
+@query("SELECT o_orderkey, o_custkey * 2 AS doubled FROM orders UNION ALL SELECT c_custkey, c_nationkey * 2 FROM customer")
+def par_concat_map(read, spark):
+    left = parallel.mapped(read("orders").select("o_orderkey", "o_custkey"), 4, doubled=F.col("o_custkey") * 2).select("o_orderkey", "doubled")
+    right = parallel.counted(read("customer"), "customers").select(F.col("c_custkey").alias("o_orderkey"), (F.col("c_nationkey") * 2).cast("long").alias("doubled"))
+    return parallel.concatenated([parallel.evaluated(left, 3, ["o_orderkey"]), right])
+
+
+@query("SELECT range AS k FROM range(0, 0) UNION ALL SELECT n_nationkey FROM nation WHERE n_nationkey >= 4")
+def strip_prefix_rows(read, spark):
+    n = read("nation").select(F.col("n_nationkey").cast("long").alias("k"))
+    return ordered.stripped_prefix(Seq(n, ["k"]), Seq(n.filter("k < 4"), ["k"]), "k")
+
+
+@query("SELECT n_regionkey, string_agg(upper(n_name), '' ORDER BY n_nationkey) AS mapped, count(*) AS n FROM nation GROUP BY 1")
+def fold_map(read, spark):
+    return read("nation").groupBy("n_regionkey").agg(agg.folded_map(F.col("n_name"), F.col("n_nationkey"), F.upper, lambda a, b: F.concat(a, b)).alias("mapped"), F.count("*").alias("n"))
+
+
+@query("SELECT n_nationkey, len(a) AS n, a[1] AS first FROM (SELECT n_nationkey, range(0, n_nationkey % 3 + 1) AS a FROM nation)")
+def concat_map_optional(read, spark):
+    out = expand.concat_map(read("nation").select("n_nationkey"), F.sequence(F.lit(0).cast("long"), (F.col("n_nationkey") % 3).cast("long")), "item")
+    return out.groupBy("n_nationkey").agg(F.count("*").alias("n"), F.min("item").alias("first"))

@@ -83,3 +83,26 @@ def watch(spark: SparkSession, path: str) -> DataFrame:
 def read_socket(spark: SparkSession, host: str, port: int) -> DataFrame:
     """An unbounded stream of the lines that a server sends."""
     return spark.readStream.format("socket").option("host", host).option("port", port).load()
+
+
+def write_bytes(df: DataFrame, chunk: str, order: list[str], path: str, append: bool = False) -> int:
+    """Chunks (binary) in order, one after another in one file; returns the bytes written.
+
+    One file is one writer: rows pass through the driver a partition at a time.
+    """
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out, n = fs.append(target) if append and fs.exists(target) else fs.create(target, not append), 0
+    try:
+        for r in df.orderBy(*order).select(chunk).toLocalIterator():
+            out.write(bytearray(r[0]))
+            n += len(r[0])
+    finally:
+        out.close()
+    return n
+
+
+def write_console(stream: DataFrame, mode: str = "append"):
+    """Prints a stream's rows; returns the running query."""
+    return stream.writeStream.format("console").outputMode(mode).start()
