@@ -16,7 +16,7 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import cached_property, lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -81,14 +81,8 @@ class Codec:
         import re
 
         import regex
-        from tokenizers import Tokenizer, models, pre_tokenizers
 
-        alphabet = byte_alphabet()
-        name = lambda t: "".join(alphabet[b] for b in t)
-        by_rank = sorted(ranks, key=ranks.get)
-        merges = [tuple(map(name, split_rank(t, ranks))) for t in by_rank if len(t) > 1]
-        self.model = Tokenizer(models.BPE(vocab={name(t): i for t, i in ranks.items()}, merges=merges, cache_capacity=0))
-        self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.ranks, by_rank = ranks, sorted(ranks, key=ranks.get)
         # \s is Unicode's White_Space, as in the pattern's own engine
         wide = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.split_any = regex.compile(wide).findall
@@ -101,6 +95,18 @@ class Codec:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.table = np.frombuffer(b"".join(by_rank), np.uint8)
 
+    @cached_property
+    def model(self):
+        """The tokenizers library's BPE over the byte alphabet; workers that only decode never build it."""
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        alphabet = byte_alphabet()
+        name = lambda t: "".join(alphabet[b] for b in t)
+        merges = [tuple(map(name, split_rank(t, self.ranks))) for t in sorted(self.ranks, key=self.ranks.get) if len(t) > 1]
+        model = Tokenizer(models.BPE(vocab={name(t): i for t, i in self.ranks.items()}, merges=merges, cache_capacity=0))
+        model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        return model
+
     def split(self, text: str) -> list[str]:
         """The matches of the pattern, one after another (they cover the text)."""
         if self.split_latin:
@@ -166,7 +172,11 @@ def _groups(column: pa.Array) -> Iterator[tuple[int, int]]:
         first = end
 
 
-def _encode_batches(batches: Iterator[pa.RecordBatch], shared, pattern: str, text: str, out: list[str]) -> Iterator[pa.RecordBatch]:
+def _bytes(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _encode_batches(batches: Iterator[pa.RecordBatch], shared, pattern: str, text: str, out: list[str], offsets: bool, decoded: bool) -> Iterator[pa.RecordBatch]:
     codec = _codec_of(shared, pattern)
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
@@ -175,9 +185,11 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], shared, pattern: str, tex
             texts = [t or "" for t in column[a:b].to_pylist()]
             ids, bounds = codec.encode(texts)
             made: list = [packed(ids, bounds, pa.int32())]
-            if len(out) > len(rest) + 1:
+            if offsets:
                 spans = [codec.offsets(t, ids[s:e]) for t, s, e in zip(texts, bounds, bounds[1:])]
                 made.append(pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
+            if decoded:
+                made.append(_bytes(*codec.decode(ids, bounds)))
             yield pa.RecordBatch.from_arrays([*(c[a:b] for c in rest), *made], out)
     codec.known.clear()  # workers are kept between tasks
 
@@ -189,17 +201,18 @@ def _decode_batches(batches: Iterator[pa.RecordBatch], shared, pattern: str, ids
             part = batch.slice(a, 256)
             column = part.column(part.schema.get_field_index(ids))
             bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
-            data, ends = codec.decode(column.flatten().to_numpy(zero_copy_only=False), bounds)
-            made = pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([*part.columns, made], out)
+            yield pa.RecordBatch.from_arrays([*part.columns, _bytes(*codec.decode(column.flatten().to_numpy(zero_copy_only=False), bounds))], out)
 
 
 def _shared(df: DataFrame, ranks: dict[bytes, int], path: str):
     return df.sparkSession.sparkContext.broadcast((path, ranks))
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", keys: tuple[str, ...] = ("doc_id",), ids: str = "ids", offsets: str | None = None) -> DataFrame:
-    """The keys and the ids of every text (array of int); offsets: name of a further column, each token's character span.
+def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", keys: tuple[str, ...] = ("doc_id",), ids: str = "ids", offsets: str | None = None, decoded: str | None = None) -> DataFrame:
+    """The keys and the ids of every text (array of int).
+
+    offsets: name of a further column, each token's character span; decoded: of one
+    with the bytes that the ids decode to, made in the same pass over the data.
 
     The vocabulary (one entry for each id, so of fixed size) is broadcast.
     """
@@ -207,8 +220,10 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", key
     fields = [df.schema[k] for k in names] + [T.StructField(ids, T.ArrayType(T.IntegerType()))]
     if offsets:
         fields.append(T.StructField(offsets, T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))))
+    if decoded:
+        fields.append(T.StructField(decoded, T.BinaryType()))
     shared = _shared(df, read_ranks(ranks_path), ranks_path)
-    return arrow_map(df.select(*names, text), partial(_encode_batches, shared=shared, pattern=pattern, text=text, out=[f.name for f in fields]), T.StructType(fields))
+    return arrow_map(df.select(*names, text), partial(_encode_batches, shared=shared, pattern=pattern, text=text, out=[f.name for f in fields], offsets=bool(offsets), decoded=bool(decoded)), T.StructType(fields))
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

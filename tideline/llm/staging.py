@@ -20,9 +20,16 @@ from ..staging import staged
 __all__ = ["BitTable", "arrow_map", "bit_table", "staged"]
 
 
+#: Rows of an Arrow batch: whole texts can be long, so fewer than Spark's default, which is taken to mean that none was chosen.
+ROWS = "2000"
+
+
 def arrow_map(df: DataFrame, function, schema: T.StructType | str) -> DataFrame:
-    """df.mapInArrow, with this package at hand in the workers."""
-    ship(df.sparkSession)
+    """df.mapInArrow, with this package at hand in the workers and batches that bound their memory."""
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
     return df.mapInArrow(partial(_run, function=function), schema)
 
 
@@ -35,24 +42,28 @@ def _run(batches: Iterator[pa.RecordBatch], function) -> Iterator[pa.RecordBatch
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: Leading bits of a hash that a bit table leaves out.
+SKIPPED = 24
+
+
 class BitTable:
-    """2**bits bits, packed; set at the leading bits of some hashes."""
+    """2**bits bits, packed; set at some bits of some hashes (not the leading ones: hashes chosen for being least have few of those)."""
 
     def __init__(self, bits: int, packed: bytes):
         self.bits, self.packed = bits, packed
 
     def test(self, hashes: np.ndarray) -> np.ndarray:
-        at = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        at = ((hashes << np.uint64(SKIPPED)) >> np.uint64(64 - self.bits)).astype(np.int64)
         return (np.frombuffer(self.packed, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
 def bit_table(df: DataFrame, column: str, bits: int):
-    """A broadcast BitTable of the column's (long) leading bits.
+    """A broadcast BitTable of the column (long).
 
     Its size is fixed by bits, whatever the number of rows; what reaches the
     driver is at most 2**(bits - 6) pairs of longs.
     """
-    at = F.shiftrightunsigned(F.col(column), 64 - bits)
+    at = F.shiftrightunsigned(F.shiftleft(F.col(column), SKIPPED), 64 - bits)
     word = df.select(F.shiftright(at, 6).alias("w"), F.expr("shiftleft(1L, 0)").alias("one"), (at.bitwiseAND(F.lit(63))).cast("int").alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(one, b)")).alias("v"))
     rows = word.toArrow()
     table = np.zeros(1 << (bits - 6), np.int64)
