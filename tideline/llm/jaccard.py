@@ -52,7 +52,7 @@ PIVOTS = 2
 #: Frequencies kept for the order of tokens, at most (16 MB).  The order decides cost only, never the result.
 FREQUENT = 1_000_000
 #: Hashes counted at a time in a task.
-COUNTED = 4_000_000
+COUNTED = 1_500_000
 BITS, DOC_BITS = 26, 24
 #: Bits of a set's parity bitmap.
 PARITY = 2048
