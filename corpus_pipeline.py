@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes
 each stage's rows as Parquet to the shared checkpoint folder and reads them
 again as the next stage's input.
+
+Documents without text or letter go in the first stage, so null texts end
+there; a null in any other column stays as it is.  Extra columns of documents
+are left out (``COLUMNS`` go on), whatever their names.  Rows of one id are told
+apart by their text (``KEY``); of a group of copies that of the least id stays, and
+of rows equal in both only one.  Empty tables give empty results.  Texts of any
+length go whole.
 """
 
 from __future__ import annotations
@@ -16,32 +23,56 @@ from tideline.llm.staging import staged
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: A document whose language scores less is rejected: a score of 0.25 means that no classifier has any margin.
+LEAST_SCORE = 0.3
+
+
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter.
+    """Documents in a language that is recognised, with ``lang`` set to it.
 
-    Only ``und`` is rejected, which is no text or no letter; which language is
-    found, and its score, reject nothing.  Without a labelled row to fit on, the
-    letters are looked for directly.
+    Rejected are ``und``, which is no text or no letter, and scores below
+    LEAST_SCORE.  Without a labelled row to fit on, letters are looked for
+    directly and ``lang`` stays null.
     """
     model = lang_id.fit(docs)
     if not model.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     found = lang_id.predict(docs.select(*COLUMNS), model, keys=COLUMNS, lang="__lang", score="__score")
-    return found.filter(F.col("__lang") != lang_id.UNKNOWN).select(*COLUMNS)
+    kept = found.filter((F.col("__lang") != lang_id.UNKNOWN) & (F.col("__score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.col("__lang")).select(*COLUMNS)
+
+
+KEY = "__key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Documents with what tells their rows apart: the id and a hash of the text."""
+    return docs.select(F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).alias(KEY), *COLUMNS)
+
+
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Documents whose key is not among the keys."""
+    parts = keys.select(F.col(f"{KEY}.doc_id").alias("__id"), F.col(f"{KEY}.h").alias("__h"))
+    same = F.col(f"{KEY}.doc_id").eqNullSafe(F.col("__id")) & (F.col(f"{KEY}.h") == F.col("__h"))
+    return docs.join(parts, same, "left_anti")
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each group of near copies (five-word shingles, similarity of 0.8 or more)."""
-    groups = jaccard.classes(docs, words=5, percent=80)
-    copies = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    return docs.select(*COLUMNS).join(copies, "doc_id", "left_anti")
+    keyed = _keyed(docs)
+    groups = jaccard.classes(keyed.select(KEY, "text"), words=5, percent=80, key=KEY)
+    kept = _without(keyed, groups.filter(~F.col(KEY).eqNullSafe(F.col("component_id"))))
+    twice = keyed.groupBy(KEY).agg(F.count("*").alias("n")).filter("n > 1").select(KEY)
+    if twice.limit(1).count():
+        kept = _without(kept, twice).unionByName(kept.join(twice, KEY, "left_semi").dropDuplicates([KEY]))
+    return kept.select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark windows cover less than a twentieth of the words."""
-    found = decontam.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.filter((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select("doc_id")
-    return docs.select(*COLUMNS).join(bad, "doc_id", "left_anti")
+    """Documents in which no benchmark window occurs, however long they are."""
+    keyed = _keyed(docs)
+    found = decontam.find(keyed.select(KEY, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=KEY)
+    return _without(keyed, found.filter("n_hit > 0")).select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +93,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the decoded bytes."""
-    return queries.encoded(docs)
+    """Token counts and digests of the ids and of the decoded bytes, with the language."""
+    return queries.encoded(docs, "lang")
 
 
 STAGES = [
