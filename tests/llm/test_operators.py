@@ -491,6 +491,63 @@ def test_pipeline_drops_long_contaminated(spark, tmp_path):
     assert tuple(out.columns) == corpus_pipeline.COLUMNS and sorted(r["doc_id"] for r in out.collect()) == [2, 3, 4, 5]
 
 
+def test_pipeline_tells_rows_apart(spark, tmp_path):
+    """Rows of one id by their text, repeated rows once; empty tables; null columns; an extra column."""
+    import corpus_pipeline
+
+    rng = random.Random(16)
+    a, b, c, item = (sentence(rng, 40) for _ in range(4))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, a), (1, a), (1, b), (2, a), (2, c), (2, c + " " + item), (None, c + " end"), (3, item), (None, None)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, h string"
+    docs = spark.createDataFrame([(i, t, None, None, None, "x") for i, t in rows], kind)
+    kept = corpus_pipeline.keep_one_of_each_group(spark, docs, "")
+    found = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert tuple(kept.columns) == corpus_pipeline.COLUMNS
+    assert collections.Counter(found) == collections.Counter([(1, a), (1, b), (None, c + " end"), (2, c + " " + item), (3, item), (None, None)]) or collections.Counter(found) == collections.Counter([(1, a), (1, b), (2, c), (2, c + " " + item), (3, item), (None, None)])
+    clean = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()]
+    assert collections.Counter(clean) == collections.Counter([x for x in rows if not x[1] or item not in x[1]])
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+def test_extract(spark):
+    """Rows of the operator: null, empty and repeated pages, an extra column named as an output, an empty table."""
+    page = f"<html><body><article><p>{LINE}<p>super<wbr>cali<img src=x>fragilistic x<span/>y &amp; z</article></body></html>"
+    rows = [(1, "u", page, "a"), (1, "u", page, "a"), (2, None, None, None), (3, "v", "", "b")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    want = f"{LINE}\n\nsupercalifragilistic xy & z"
+    assert sorted((r["page_id"], r["text"]) for r in main_text.extract(df).collect()) == [(1, want), (1, want), (2, ""), (3, "")]
+    assert main_text.extract(df.limit(0)).count() == 0
+
+
+def test_language_of_odd_rows(spark):
+    """Ties go to the first name, repeated rows repeat, columns named as outputs do not matter, long texts go whole."""
+    assert lang_id._vote(["a", "b"], [("a", "b")], np.zeros((1, 1)))[0].tolist() == [0]
+    rng = random.Random(5)
+    make = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
+    rows = [(i, make("aeth" if i % 2 else "uzck", 30), "en" if i % 2 else "de", 0.5, "x") for i in range(60)]
+    rows += [(100, "9" * 300_000 + " " + make("uzck", 20_000), None, 0.1, "y")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string")
+    out = [(r["doc_id"], r["lang_pred"], r["score"]) for r in lang_id.predict(df, lang_id.fit(df)).collect()]
+    assert len(out) == 62 and all(v == ("de" if i % 2 == 0 else "en") for i, v, _ in out)
+    assert len({x for x in out if x[0] == 100}) == 1
+
+
+def test_jaccard_of_one_id_and_percents(spark):
+    """Ids repeated under different texts keep their classes; a percent that is not exact is refused."""
+    rng = random.Random(17)
+    a, b = sentence(rng, 30), sentence(rng, 30)
+    rows = [(5, a), (5, b), (3, a), (4, b), (4, None), (None, a)]
+    out = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in out) == [(0, 27, 3), (3, 27, 3), (4, 0, 4), (4, 27, 4), (5, 27, 3), (5, 27, 4)]
+    for percent in (0, 50, 101):
+        with pytest.raises(ValueError, match="percent"):
+            jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), 4, percent)
+    assert {r["component_id"] for r in jaccard.classes(spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e"), (3, "a b c d f")], "doc_id long, text string"), 2, 100).collect()} == {1, 3}
+
+
 def test_pipeline(spark):
     """run() against all its stages written plainly, none of them through an operator."""
     import corpus_pipeline
