@@ -48,6 +48,14 @@ def demux(df: DataFrame, key: str, folds: Mapping[str, Column], name: str = "val
     return df.filter(F.col(key).isin(*folds)).groupBy(key).agg(choice.alias(name))
 
 
+def demux_or(df: DataFrame, key: str, folds: Mapping[str, Column], other: Column, name: str = "value") -> DataFrame:
+    """For each key its own fold, and another one for keys without."""
+    choice = other
+    for k, f in folds.items():
+        choice = F.when(F.col(key) == k, f).otherwise(choice)
+    return df.groupBy(key).agg(choice.alias(name))
+
+
 def demux_scan(seq: Seq, key: str, folds: Mapping[str, Column], name: str = "value") -> DataFrame:
     """Every row of a key that has a fold, with that fold so far."""
     choice = None

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import aggregates as agg
-from ..functions import arrays, text
-from ..operators import expand, multiset
+from ..functions import arrays, keyed, text
+from ..operators import expand, multiset, rows
 from ..seq import Seq, fair_cross, interleaved, zipped
 from ..sources import generators
 from ..streaming import sessions
@@ -84,13 +84,13 @@ def iterate(read, spark):
 
 @query("SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) // 7 AS value FROM orders")
 def map_values(read, spark):
-    return read("orders").select("o_orderkey", F.expr("cast(round(o_totalprice * 100) as bigint) div 7").alias("value"))
+    return rows.mapped(read("orders"), ["o_orderkey"], value=F.expr("cast(round(o_totalprice * 100) as bigint) div 7"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 = 0")
 def map_maybe(read, spark):
     k = F.get_json_object("props", "$.k").cast("long")
-    return read("events").select("event_id", F.when(k % 2 == 0, k).alias("k")).filter("k IS NOT NULL")
+    return rows.map_maybe(read("events"), ["event_id"], "k", F.when(k % 2 == 0, k))
 
 
 @query(f"SELECT o_orderkey, {N} AS index FROM orders")
@@ -118,7 +118,7 @@ def rolling_map_pairs(read, spark):
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'F'")
 def filter_rows(read, spark):
-    return read("orders").filter((F.col("o_totalprice") > 100000) & (F.col("o_orderstatus") == "F")).select("o_orderkey", "o_orderstatus")
+    return rows.filtered(read("orders"), (F.col("o_totalprice") > 100000) & (F.col("o_orderstatus") == "F")).select("o_orderkey", "o_orderstatus")
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) over (partition by user_id order by ts, event_id) AS p FROM events) WHERE p IS DISTINCT FROM event_type")
@@ -181,7 +181,7 @@ def find_indices(read, spark):
 
 @query(f"SELECT o_orderkey, i < 1000 AS first FROM (SELECT o_orderkey, {N} AS i FROM orders)")
 def split_at(read, spark):
-    return orders(read).indexed("i").select("o_orderkey", (F.col("i") < 1000).alias("first"))
+    return orders(read).split_at(1000, "first")
 
 
 @query("SELECT doc_id, md5(replace(text, 'the', '<>')) AS replaced, md5(replace(text, 'the', '')) AS dropped FROM documents")
@@ -309,8 +309,8 @@ def split_sep_by(read, spark):
 
 @query("SELECT CAST(segment AS BIGINT) AS segment, min(i) AS start, count(*) AS length FROM (SELECT i, coalesce(sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) over (order by i rows between unbounded preceding and 1 preceding), 0) AS segment FROM (SELECT *, row_number() over (order by o_orderkey) - 1 AS i FROM orders)) GROUP BY 1")
 def index_end_by(read, spark):
-    seq = orders(read, "o_orderstatus")
-    out = Seq(seq.indexed("i"), ["i"]).end_by(F.col("o_orderstatus") == "P")
+    ends = F.when(F.col("o_orderstatus") == "P", 1).otherwise(0).cast("long")
+    out = orders(read, "o_orderstatus").running_all(i=(F.lit(1).cast("long"), "sum", True), segment=(ends, "sum", True))
     return out.groupBy("segment").agg(F.min("i").alias("start"), F.count("*").alias("length"))
 
 
@@ -334,8 +334,8 @@ def postscan(read, spark):
 @query("SELECT o_orderkey, CAST(sum(o_custkey) over (order by o_orderkey rows unbounded preceding) AS BIGINT) AS total, CAST(coalesce(sum(o_custkey) over (order by o_orderkey rows between unbounded preceding and 1 preceding), 0) AS BIGINT) AS before FROM orders")
 def running_total_without_keys(read, spark):
     seq = orders(read, "o_custkey")
-    both = Seq(seq.running("total", F.col("o_custkey")), ["o_orderkey"])
-    return both.df.select("o_orderkey", "total", (F.col("total") - F.col("o_custkey")).alias("before"))
+    out = seq.running_all(total=(F.col("o_custkey"), "sum", False), before=(F.col("o_custkey"), "sum", True))
+    return out.select("o_orderkey", "total", "before")
 
 
 @query("SELECT event_id, CAST((SELECT count(DISTINCT e.event_type) FROM events e WHERE e.user_id = events.user_id AND (e.ts, e.event_id) <= (events.ts, events.event_id)) AS BIGINT) AS kinds FROM events")
@@ -360,7 +360,8 @@ def statistics(read, spark):
 
 @query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, CAST(sum(CAST(round(l_extendedprice*100) AS BIGINT)) AS BIGINT) AS sum_cents, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2")
 def tee_pricing_summary(read, spark):
-    return read("lineitem").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp")).groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.sum(cents("l_extendedprice")).alias("sum_cents"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"))
+    shipped = rows.filtered(read("lineitem"), F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
+    return keyed.classify(shipped, ["l_returnflag", "l_linestatus"], F.sum("l_quantity").alias("sum_qty"), F.sum(cents("l_extendedprice")).alias("sum_cents"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"))
 
 
 @query("SELECT o_totalprice, o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
@@ -375,8 +376,9 @@ def bottom(read, spark):
 
 @query("SELECT count(*) FILTER (l_quantity > 25) AS big, count(*) FILTER (NOT l_quantity > 25) AS small, CAST(sum(l_orderkey) FILTER (l_quantity > 25) AS BIGINT) AS big_keys FROM lineitem")
 def partition_fold(read, spark):
-    big = F.col("l_quantity") > 25
-    return read("lineitem").agg(F.count(F.when(big, 1)).alias("big"), F.count(F.when(~big, 1)).alias("small"), F.sum(F.when(big, F.col("l_orderkey"))).alias("big_keys"))
+    big, k = F.col("l_quantity") > 25, F.col("l_orderkey")
+    counts, sums = agg.partition(big, F.count, F.count, k), agg.partition(big, F.sum, F.sum, k)
+    return read("lineitem").agg(counts["yes"].alias("big"), counts["no"].alias("small"), sums["yes"].alias("big_keys"))
 
 
 # 2.11 keyed folds
@@ -384,7 +386,7 @@ def partition_fold(read, spark):
 
 @query("SELECT l_partkey AS k, count(*) AS n FROM lineitem GROUP BY 1")
 def frequency(read, spark):
-    return read("lineitem").groupBy(F.col("l_partkey").alias("k")).agg(F.count("*").alias("n"))
+    return keyed.frequency(read("lineitem").select(F.col("l_partkey").alias("k")), "k")
 
 
 @query("SELECT count(DISTINCT l_partkey) AS n FROM lineitem")
@@ -394,12 +396,12 @@ def count_distinct(read, spark):
 
 @query("SELECT event_type, CASE event_type WHEN 'click' THEN count(*) ELSE max(event_id) END AS v FROM events GROUP BY 1")
 def demux(read, spark):
-    return read("events").groupBy("event_type").agg(F.when(F.col("event_type") == "click", F.count("*")).otherwise(F.max("event_id")).alias("v"))
+    return keyed.demux_or(read("events"), "event_type", {"click": F.count("*")}, F.max("event_id"), "v")
 
 
 @query("SELECT c_mktsegment, array_to_string(list_sort(list(DISTINCT c_nationkey)), ',') AS nations FROM customer GROUP BY 1")
 def to_set(read, spark):
-    return read("customer").groupBy("c_mktsegment").agg(F.array_join(F.sort_array(F.collect_set("c_nationkey")).cast("array<string>"), ",").alias("nations"))
+    return keyed.classify(read("customer"), ["c_mktsegment"], F.array_join(keyed.to_set(F.col("c_nationkey")).cast("array<string>"), ",").alias("nations"))
 
 
 # 2.13 sliding windows

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .staging import staged
 
 BLOCK = "__block"
+FOLDS = {"sum": F.sum, "min": F.min, "max": F.max, "product": F.product}
+JOINS = {"sum": lambda a, b: a + b, "min": F.least, "max": F.greatest, "product": lambda a, b: F.coalesce(a, F.lit(1)) * F.coalesce(b, F.lit(1))}
 
 
 class Seq:
@@ -46,7 +48,11 @@ class Seq:
         return Seq(df, self.order, self.keys)
 
     def blocks(self) -> DataFrame:
-        """Rows with their block; blocks follow the order."""
+        """Rows with their block; blocks follow the order.
+
+        Without keys this runs a job: the rows are written to the shared folder, so
+        that blocks stay as they are.  It is done once for a Seq.
+        """
         if self.keys:
             return self.df
         if self._blocks is None:
@@ -59,29 +65,48 @@ class Seq:
 
         reverse: over the rows after, from the last one back.
         """
-        fold = {"sum": F.sum, "min": F.min, "max": F.max, "product": F.product}[kind]
-        join = {"sum": lambda a, b: a + b, "min": F.least, "max": F.greatest, "product": lambda a, b: F.coalesce(a, F.lit(1)) * F.coalesce(b, F.lit(1))}[kind]
+        fold = FOLDS[kind]
         window = self.by(reverse).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
         own = fold(value).over(window)
         if self.keys:
             return self.df.withColumn(name, F.coalesce(own, F.lit(0)) if kind == "sum" else own)
-        df = self.blocks()
-        # one row for each block
-        totals = df.groupBy(BLOCK).agg(fold(value).alias("__total"))
-        before = totals.select(BLOCK, fold("__total").over(Window.orderBy(F.desc(BLOCK) if reverse else F.asc(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
-        out = df.withColumn(name, own).join(F.broadcast(before), BLOCK)
-        zero = (lambda c: F.coalesce(c, F.lit(0))) if kind == "sum" else (lambda c: c)
-        return out.withColumn(name, join(zero(F.col(name)), zero(F.col("__before")))).drop(BLOCK, "__before")
+        return self._over_blocks({name: (value, kind, exclusive, reverse)})
+
+    def _over_blocks(self, columns: dict[str, tuple[Column, str, bool, bool]]) -> DataFrame:
+        """Running columns (value, kind, exclusive, reverse) in two levels; all read the blocks once."""
+        out = self.blocks()
+        added = []
+        totals = out.groupBy(BLOCK).agg(*(FOLDS[kind](value).alias(f"__t{k}") for k, (value, kind, _, _) in enumerate(columns.values())))  # one row for each block
+        before = totals
+        for k, (name, (value, kind, exclusive, reverse)) in enumerate(columns.items()):
+            fold = FOLDS[kind]
+            window = Window.orderBy(F.desc(BLOCK) if reverse else F.asc(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
+            before = before.withColumn(f"__b{k}", fold(f"__t{k}").over(window))
+            own = fold(value).over(self.by(reverse).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0))
+            added.append(own.alias(f"__o{k}"))
+        out = out.select("*", *added).join(F.broadcast(before), BLOCK)
+        zero = lambda c, kind: F.coalesce(c, F.lit(0)) if kind == "sum" else c
+        made = {name: JOINS[kind](zero(F.col(f"__o{k}"), kind), zero(F.col(f"__b{k}"), kind)) for k, (name, (_, kind, _, _)) in enumerate(columns.items())}
+        return out.withColumns(made).drop(BLOCK, *(f"__{x}{k}" for x in "obt" for k in range(len(columns))))
+
+    def running_all(self, **columns: tuple[Column, str, bool]) -> DataFrame:
+        """Several running columns, (value, kind, exclusive) each, in one pass."""
+        if not self.keys:
+            return self._over_blocks({name: (*c, False) for name, c in columns.items()})
+        out = self.df
+        for name, (value, kind, exclusive) in columns.items():
+            out = self.like(out).running(name, value, kind, exclusive)
+        return out
 
     def indexed(self, name: str = "index", reverse: bool = False) -> DataFrame:
         """Positions from 0; reverse counts down from the last row to 0."""
         if self.keys:
             return self.df.withColumn(name, (F.row_number().over(self.by(reverse)) - 1).cast("long"))
-        out = self.running(name, F.lit(1).cast("long"), exclusive=True)
-        if reverse:
-            n = out.agg(F.count("*").alias("__n"))
-            out = out.crossJoin(F.broadcast(n)).withColumn(name, F.col("__n") - 1 - F.col(name)).drop("__n")
-        return out
+        return self.running(name, F.lit(1).cast("long"), exclusive=True, reverse=reverse)
+
+    def split_at(self, n: int, name: str = "first") -> DataFrame:
+        """Every row, told whether it is among the first n."""
+        return self.indexed("__i").withColumn(name, F.col("__i") < n).drop("__i")
 
     def running_distinct(self, name: str, value: str) -> DataFrame:
         """How many different values (null is none) have come so far: first occurrences, added up."""
