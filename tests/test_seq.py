@@ -197,6 +197,23 @@ def test_bytes_written(spark, tmp_path):
     assert (tmp_path / "out.bin").read_bytes() == b"".join(bytes([i] * i) for i in range(20))
 
 
+def test_streaming_fixed_sessions(spark, tmp_path):
+    """Sessions come out as the watermark passes their end, over several batches of input."""
+    batches = [[(1, 0), (1, 5), (2, 3)], [(1, 12), (2, 9), (1, 30)], [(1, 100), (2, 100)], [(3, 200)]]
+    source = tmp_path / "in"
+    stream = spark.readStream.schema("k long, s long, ts timestamp").parquet(str(source / "*"))
+    source.mkdir()
+    out = sessions.fixed_sessions_stream(stream, ["k"], "ts", 10, "1 second")
+    query = None
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "k long, s long").withColumn("ts", F.timestamp_seconds(F.col("s") + 1000)).write.parquet(str(source / str(i)))
+        query = query or out.writeStream.format("memory").queryName("fixed").outputMode("append").start()
+        query.processAllAvailable()
+    query.stop()
+    rows = spark.sql("SELECT k, unix_seconds(start) - 1000 AS s, unix_seconds(end) - 1000 AS e, n FROM fixed").collect()
+    assert sorted(tuple(r) for r in rows) == [(1, 0, 10, 2), (1, 12, 22, 1), (1, 30, 40, 1), (1, 100, 110, 1), (2, 3, 13, 2), (2, 100, 110, 1)]
+
+
 def test_tick_stream(spark):
     assert sessions.tick_stream(spark).isStreaming and set(sessions.tick_stream(spark).columns) == {"timestamp", "value"}
 

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from functools import partial
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -132,3 +133,36 @@ def tick_stream(spark: SparkSession, rows_per_second: int = 1) -> DataFrame:
 def interjected(df: DataFrame, ts: str, marks: DataFrame, mark: str = "mark") -> DataFrame:
     """The rows and those of marks (times) in one, told apart by ``mark``; columns that marks lack are null."""
     return df.withColumn(mark, F.lit(False)).unionByName(marks.withColumn(mark, F.lit(True)), allowMissingColumns=True)
+
+
+def fixed_sessions_stream(df: DataFrame, keys: Sequence[str], ts: str, seconds: float, watermark: str) -> DataFrame:
+    """(keys, start, end, n) of each session of a fixed duration, as the watermark passes its end; for streams.
+
+    A session is anchored at the first event of its key that the one before does not
+    hold; events that come late, but not beyond the watermark, count in the session
+    that is open then.  The state of a key is its open session.
+    """
+    limit = int(seconds * 1e6)
+    source = df.withWatermark(ts, watermark)
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def step(key, frames, state):
+        anchor, n = state.get if state.exists else (None, 0)
+        closed = []
+        if state.hasTimedOut:
+            closed.append((*key, anchor, anchor + limit, n))
+            state.remove()
+        else:
+            times = np.sort(np.concatenate([f[ts].to_numpy().astype("datetime64[us]").astype(np.int64) for f in frames]))
+            for t in times.tolist():
+                if anchor is not None and t - anchor >= limit:
+                    closed.append((*key, anchor, anchor + limit, n))
+                    anchor, n = None, 0
+                anchor, n = t if anchor is None else anchor, n + 1
+            state.update((anchor, n))
+            state.setTimeoutTimestamp(max(-(-(anchor + limit) // 1000), state.getCurrentWatermarkMs() + 1))
+        out = pd.DataFrame(closed, columns=[*keys, "start", "end", "n"])
+        out["start"], out["end"] = (pd.to_datetime(out[c].astype("int64"), unit="us") for c in ("start", "end"))
+        yield out
+
+    return source.groupBy(*keys).applyInPandasWithState(step, f"{kinds}, start timestamp, end timestamp, n long", "anchor long, n long", "append", "EventTimeTimeout")
