@@ -10,26 +10,29 @@ an anchor, so equal strings have an anchor at the same place.
    around it can reach.  Grams are counted, with the least and the greatest
    hash of their contexts.  Those that occur once are done with.  Where all
    contexts of a gram are equal every string around it repeats, and no bytes
-   need to move.  Bit tables, sized by the counts (``BITS``), hold the other kinds.
-2. The anchors of grams with different contexts send their contexts' bytes.  A
-   task merges its equal contexts.
-3. Sampled splitters range-partition the contexts by their leading gram, so
-   equal grams share a bucket and no match crosses a boundary.  A bucket is read
-   gram by gram, about ``HELD`` contexts at a time, and those are
+   need to move.
+2. The others send their contexts' bytes, those of a task that are equal once.  A
+   hot gram, with more than ``HOT`` occurrences, sends each of its different
+   contexts from one place only.  If there are more than ``WIDE`` of these, its
+   splitters are longer: the strings around it are dealt, by how far before the
+   anchor they start, into ``PIECES`` ranges, and all strings of a range share most
+   of their bytes.  These leading bytes are counted as grams are.
+3. Sampled splitters range-partition the contexts by their leading bytes, so
+   equal ones share a bucket and no match crosses a boundary.  A bucket is read
+   in their order, about ``HELD`` contexts at a time, and those are
    sorted by multikey quicksort (8 bytes a character), forwards from the anchor
    and backwards from it; neighbours' common lengths tell, for each place of
    the string around the anchor, which contexts agree on all of it.
-4. A hot gram, with more than ``HOT`` occurrences, does not go to one bucket.  The
-   splitters within it are the whole strings: each merged context lists, for
-   every place of the string around the anchor, that string's hash, and these are
-   counted wherever they fall, combined before they are shuffled.
-5. The spans found are merged for each document and cut out.
+4. The contexts found are joined with the places that have them (a row for each,
+   without bytes), merged for each document and cut out.
+
+Bit tables, sized by what they hold (``BITS``), say in the tasks which grams and
+contexts matter; what passes beyond is told apart by exact joins or is harmless.
 
 Null text counts as empty.  Matches never cross documents.  Repeated rows
-repeat each other, so all their long strings go.  Grams, equal contexts merged
-in a task, and strings of one length around one hot gram at one place are told
-apart by 64-bit hashes; all other strings are compared byte by byte.  Only the
-key and the text are read, so other columns may have any names.
+repeat each other, so all their long strings go.  Leading bytes, and contexts
+that are equal, are told apart by 64-bit hashes; the strings are compared byte by
+byte.  Only the key and the text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -47,10 +50,12 @@ from .grid import CHUNK, U64, mix, powers, text_buffer
 from .staging import arrow_map, bit_table, staged
 
 LENGTH, GRAM = 200, 64
-#: Bits of a bit table: 16 for each gram in it, between these powers of two (beyond, more contexts pass than needed).
+#: Bits of a bit table: 8 to 16 for each entry, between these powers of two (beyond, more contexts pass than needed).
 BITS = (20, 29)
-#: Occurrences of a gram that go to one bucket, at most; contexts sorted at a time, about.
-HOT, HELD = 4096, 20_000
+#: Occurrences that make a gram hot, and different contexts from which on they are dealt further; contexts sorted at a time, about.
+HOT, WIDE, HELD = 4096, 20_000, 20_000
+#: Ranges of places that the strings around a gram of very many contexts are dealt into.
+PIECES = 8
 
 
 def _pieces(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -122,44 +127,151 @@ def _unique_anchors(column: pa.Array, length: int, gram: int):
         yield data, bounds, at[fresh], h[fresh], piece[fresh], row[fresh], place[fresh]
 
 
-def _reach(column_bounds: np.ndarray, row: np.ndarray, place: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Position in the column's bytes, and start and end of the context."""
-    at = column_bounds[row] + place
-    return at, np.maximum(at - (length - gram), column_bounds[row]), np.minimum(at + length, column_bounds[row + 1])
+class _Anchored:
+    """A column's anchors (some at a time), and the ranges of places around them.
+
+    A range is (anchor, key, first and last place, start and end of the context); key
+    is the hash of the leading bytes, and start and end are in the column's bytes.
+    """
+
+    def __init__(self, batch: pa.RecordBatch, data: np.ndarray, bounds: np.ndarray, row: np.ndarray, place: np.ndarray, h: np.ndarray, length: int, gram: int):
+        self.batch, self.data, self.row, self.place, self.h = batch, data, row, place, h
+        self.length, self.reach = length, length - gram
+        self.at = bounds[row] + place
+        self.start, self.end = np.maximum(self.at - self.reach, bounds[row]), np.minimum(self.at + length, bounds[row + 1])
+        self.base = int(self.start.min())
+        part = data[self.base : int(self.end.max())]
+        up, self.down = powers(len(part) + 1)
+        self.total = np.zeros(len(part) + 1, U64)
+        np.cumsum((part.astype(U64) + U64(1)) * up[: len(part)], out=self.total[1:])
+
+    def hashed(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        start, end = start - self.base, end - self.base
+        return mix((self.total[end] - self.total[start]) * self.down[start])
+
+    def contexts(self, anchor: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        at = self.at[anchor]
+        return self.hashed(start, end) ^ mix((at - start).astype(U64) * U64(1000003) + (end - at).astype(U64))
+
+    def owners(self, anchor: np.ndarray) -> np.ndarray:
+        """A hash of whose and which place it is: the batch has hashes of key and text in its second and third columns."""
+        dh, th = (self.batch.column(k).to_numpy().view(U64)[self.row[anchor]] for k in (1, 2))
+        return mix(dh ^ mix(th + self.place[anchor].astype(U64)))
+
+    def whole(self) -> tuple[np.ndarray, ...]:
+        n = len(self.h)
+        return np.arange(n), self.h, np.zeros(n, np.int64), np.full(n, self.reach), self.start, self.end
+
+    def pieces(self, wide) -> tuple[np.ndarray, ...]:
+        """The ranges of grams that the table holds."""
+        of = np.flatnonzero(wide.test(self.h))
+        parts = []
+        for p, places in enumerate(np.array_split(np.arange(self.reach + 1), min(PIECES, self.reach + 1))):
+            lo, hi = int(places[0]), int(places[-1])
+            at = self.at[of]
+            # places that have a whole string: as far as the text goes before and after the anchor
+            fits = np.maximum(lo, self.length - (self.end[of] - at)) <= np.minimum(hi, at - self.start[of])
+            a, at = of[fits], at[fits]
+            salt = U64((p + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            key = mix(self.hashed(at - lo, at + self.length - hi) + salt)
+            parts.append((a, key, np.full(len(a), lo), np.full(len(a), hi), np.maximum(at - hi, self.start[a]), np.minimum(at + self.length - lo, self.end[a])))
+        return tuple(np.concatenate(c) for c in zip(*parts))
+
+    def ranges(self, wide) -> tuple[np.ndarray, ...]:
+        """Whole contexts, and pieces of those of the grams that the table (if there is one) holds."""
+        whole = self.whole()
+        if wide is None:
+            return whole
+        rest = ~wide.test(self.h)
+        return tuple(np.concatenate([x[rest], y]) for x, y in zip(whole, self.pieces(wide)))
+
+
+def _anchored(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[_Anchored]:
+    """The anchors of batches whose last column is the text."""
+    for batch in batches:
+        column = batch.column(batch.num_columns - 1)
+        data, bounds = text_buffer(column)
+        for _, _, _, h, _, row, place in _unique_anchors(column, length, gram):
+            if len(h):
+                yield _Anchored(batch, data, bounds, row, place, h, length, gram)
+
+
+def _firsts(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by the columns, and where in it the different ones begin."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[order][1:] != c[order][:-1]
+    return order, np.flatnonzero(new)
 
 
-def _context_hashes(data: np.ndarray, at: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    base = int(start.min())
-    part = data[base : int(end.max())]
-    up, down = powers(len(part) + 1)
-    total = np.zeros(len(part) + 1, U64)
-    np.cumsum((part.astype(U64) + U64(1)) * up[: len(part)], out=total[1:])
-    return mix((total[end - base] - total[start - base]) * down[start - base]) ^ mix((at - start).astype(U64) * U64(1000003) + (end - at).astype(U64))
+def _signed(*columns: np.ndarray) -> list[pa.Array]:
+    return [pa.array(c.view(np.int64) if c.dtype == U64 else c.astype(np.int64)) for c in columns]
 
 
 def _grams(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Each gram with its count and the least and greatest hash of its contexts."""
+    for anchored in _anchored(batches, length, gram):
+        anchor, h, _, _, start, end = anchored.whole()
+        c = anchored.contexts(anchor, start, end).view(np.int64)
+        order, first = _firsts(h)
+        h, c = h[order], c[order]
+        yield pa.RecordBatch.from_arrays(_signed(h[first], np.diff(np.r_[first, len(h)]), np.minimum.reduceat(c, first), np.maximum.reduceat(c, first)), ["h", "n", "x", "y"])
+
+
+def _hot(batches: Iterator[pa.RecordBatch], shared, pieces: bool, length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Contexts around the grams that the table holds (or pieces of them), with count and one owner."""
+    for anchored in _anchored(batches, length, gram):
+        if pieces:
+            anchor, h, _, _, start, end = anchored.pieces(shared.value)
+        else:
+            keep = shared.value.test(anchored.h)
+            anchor, h, _, _, start, end = (x[keep] for x in anchored.whole())
+        if not len(h):
+            continue
+        c = anchored.contexts(anchor, start, end)
+        order, first = _firsts(h, c)
+        owner = np.minimum.reduceat(anchored.owners(anchor)[order].view(np.int64), first)
+        yield pa.RecordBatch.from_arrays(_signed(h[order][first], c[order][first], np.diff(np.r_[first, len(h)]), owner), ["h", "c", "n", "owner"])
+
+
+def _contexts(batches: Iterator[pa.RecordBatch], mixed, hot, owners, wide, length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Hashes, leading bytes, first and last place, before and after (bytes), and count of contexts that may match others."""
+    for anchored in _anchored(batches, length, gram):
+        ranges = anchored.ranges(wide and wide.value)
+        keep = mixed.value.test(ranges[1])
+        if hot:
+            keep &= ~hot.value.test(ranges[1]) | owners.value.test(anchored.owners(ranges[0]))
+        anchor, h, lo, hi, start, end = (x[keep] for x in ranges)
+        if not len(h):
+            continue
+        c = anchored.contexts(anchor, start, end)
+        order, first = _firsts(h, c)
+        times, one = np.diff(np.r_[first, len(h)]), order[first]
+        at, lo, hi, start, end = anchored.at[anchor[one]], lo[one], hi[one], start[one], end[one]
+        parts = [_gathered(anchored.data, s, e) for s, e in ((at - lo, at + length - hi), (start, at), (at, end))]
+        yield pa.RecordBatch.from_arrays([*_signed(h[one], c[one], lo, hi, times), *parts], ["h", "c", "lo", "hi", "times", "lead", "before", "after"])
+
+
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with one hash of the hashes of gram and context."""
     for batch in batches:
-        data, bounds = text_buffer(batch.column(0))
-        for _, _, _, h, _, row, place in _unique_anchors(batch.column(0), length, gram):
-            if not len(h):
-                continue
-            c = _context_hashes(data, *_reach(bounds, row, place, length, gram)).view(np.int64)
-            order = np.argsort(h, kind="stable")
-            h, c = h[order], c[order]
-            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(np.diff(np.r_[first, len(h)])), pa.array(np.minimum.reduceat(c, first)), pa.array(np.maximum.reduceat(c, first))], ["h", "n", "x", "y"])
-
-
-def _whole(batches: Iterator[pa.RecordBatch], shared, length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """All that strings around an anchor cover, for grams that may have equal contexts only."""
-    for batch in batches:
-        _, bounds = text_buffer(batch.column(2))
-        for _, _, _, h, _, row, place in _unique_anchors(batch.column(2), length, gram):
-            keep = shared.value.test(h)
-            h, row, place = h[keep], row[keep], place[keep]
-            at, start, end = _reach(bounds, row, place, length, gram)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(start - bounds[row]), pa.array(end - bounds[row])], ["h", "doc_id", "th", "s", "e"])
+        h, c = (batch.column(k).to_numpy().view(U64) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([*batch.columns, *_signed(mix(h ^ mix(c)))], [*batch.schema.names, "k"])
+
+
+def _places(batches: Iterator[pa.RecordBatch], found, wide, length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Who has the contexts that the table holds, where, and how far they go before and after the anchor."""
+    for anchored in _anchored(batches, length, gram):
+        anchor, h, _, _, start, end = anchored.ranges(wide and wide.value)
+        c = anchored.contexts(anchor, start, end)
+        keep = np.flatnonzero(found.value.test(mix(h ^ mix(c))))
+        if not len(keep):
+            continue
+        a = anchor[keep]
+        at, row = anchored.at[a], pa.array(anchored.row[a])
+        yield pa.RecordBatch.from_arrays([*_signed(h[keep], c[keep]), anchored.batch.column(0).take(row), anchored.batch.column(2).take(row), *_signed(anchored.place[a], at - start[keep], end[keep] - at)], ["h", "c", "doc_id", "th", "at", "left", "right"])
 
 
 def _gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -169,52 +281,6 @@ def _gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Arra
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[at]))])
 
 
-def _merged(batches: Iterator[pa.RecordBatch], wanted, length: int, gram: int):
-    """A column's bytes; gram and context hash, anchor, start and end of its different contexts; who has each: the rows' keys and places."""
-    for batch in batches:
-        column = batch.column(2)
-        data, bounds = text_buffer(column)
-        for _, _, _, h, _, row, place in _unique_anchors(column, length, gram):
-            keep = wanted(h)
-            h, row, place = h[keep], row[keep], place[keep]
-            if not len(h):
-                continue
-            at, start, end = _reach(bounds, row, place, length, gram)
-            c = _context_hashes(data, at, start, end)
-            order = np.lexsort((c, h))
-            new = np.r_[True, (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])]
-            first, cuts = order[new], np.r_[np.flatnonzero(new), len(order)]
-            who = pa.StructArray.from_arrays([batch.column(0).take(pa.array(row[order])), batch.column(1).take(pa.array(row[order])), pa.array(place[order])], ["doc_id", "th", "at"])
-            yield data, h[first], c[first], at[first], start[first], end[first], pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), who)
-
-
-def _contexts(batches: Iterator[pa.RecordBatch], shared, hot, length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """before and after (bytes), and who, for grams that are not hot."""
-    wanted = lambda h: shared.value.test(h) & ~hot.value.test(h)
-    for data, _, _, at, start, end, who in _merged(batches, wanted, length, gram):
-        yield pa.RecordBatch.from_arrays([_gathered(data, start, at), _gathered(data, at, end), who], ["before", "after", "who"])
-
-
-def _strings(batches: Iterator[pa.RecordBatch], hot, length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Contexts of hot grams, with the hashes of the strings that start 0, 1, ... bytes before the anchor, as far as there are such."""
-    offsets = np.arange(length - gram + 1)
-    for data, h, c, at, start, end, who in _merged(batches, lambda h: hot.value.test(h), length, gram):
-        base = int(start.min())
-        part = data[base : int(end.max())]
-        up, down = powers(len(part) + 1)
-        total = np.zeros(len(part) + 1, U64)
-        np.cumsum((part.astype(U64) + U64(1)) * up[: len(part)], out=total[1:])
-        for k in range(0, len(h), 2048):
-            rows = slice(k, k + 2048)
-            s = at[rows, None] - offsets
-            row, o = np.nonzero((s >= start[rows, None]) & (s + length <= end[rows, None]))
-            s = s[row, o] - base
-            x = mix((total[s + length] - total[s]) * down[s])
-            bounds = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(h[rows])))]).astype(np.int32)
-            each = pa.StructArray.from_arrays([pa.array(o.astype(np.int32)), pa.array(x.view(np.int64))], ["o", "s"])
-            yield pa.RecordBatch.from_arrays([pa.array(h[rows].view(np.int64)), pa.array(c[rows].view(np.int64)), who[rows], pa.ListArray.from_arrays(pa.array(bounds), each)], ["h", "c", "who", "strings"])
-
-
 def _matrix(column: pa.Array, width: int, backwards: bool) -> tuple[np.ndarray, np.ndarray]:
     """The rows' bytes, padded with zeros, and their lengths."""
     column = column.cast(pa.large_binary())
@@ -264,44 +330,47 @@ def _common(table: np.ndarray, size: np.ndarray, order: np.ndarray) -> np.ndarra
     return out
 
 
+def _ordered(table: np.ndarray, size: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows by class and bytes, and each one's common length with the one before it (-1 at the first of a class)."""
+    order = multikey_sort(table, size, cls)
+    common = _common(table, size, order)
+    common[1:][cls[order][1:] != cls[order][:-1]] = -1
+    common[0] = -1
+    return order, common
+
+
 def _bucket(batches: Iterator[pa.RecordBatch], length: int, gram: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Spans of the strings that repeat around this bucket's anchors, which come sorted by gram."""
+    """The first and last place of the strings around contexts that repeat; contexts come sorted by leading bytes and first place."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
         if sum(b.num_rows for b in held) < most:
             continue
-        lead = pc.binary_slice(batch.column(1), 0, gram)
+        lead = batch.column(5)
         cut = pc.not_equal(lead, lead[-1]).to_numpy(zero_copy_only=False)
-        if cut.any():  # the last gram may go on in the next batch
+        if cut.any():  # the last leading bytes may go on in the next batch
             at = int(np.flatnonzero(cut)[-1]) + 1
-            yield from _spans([*held[:-1], batch.slice(0, at)], length, gram)
+            yield from _compared([*held[:-1], batch.slice(0, at)], length, gram)
             held = [batch.slice(at)]
     if held:
-        yield from _spans(held, length, gram)
+        yield from _compared(held, length, gram)
 
 
-def _spans(held: list[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+def _compared(held: list[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     whole = pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=None)
     if not whole:
         return
     whole = whole[0]
     n = whole.num_rows
     reach = length - gram
-    after, a_size = _matrix(whole.column(1), -(-length // 8) * 8, False)
-    width = -(-reach // 8) * 8
-    before, b_size = _matrix(whole.column(0), width, True)
-    who = whole.column(2)
-    cuts = who.offsets.to_numpy()
-    times = np.diff(cuts)
-    order = multikey_sort(after, a_size, np.zeros(n, np.int64))
-    right = _common(after, a_size, order)
-    cls = np.empty(n, np.int64)
-    cls[order] = np.cumsum(right < gram)
-    back = multikey_sort(before, b_size, cls)
-    left = _common(before, b_size, back)
-    left[1:][cls[back][1:] != cls[back][:-1]] = -1
-    left[0] = -1
+    lo, hi, times = (whole.column(k).to_numpy() for k in (2, 3, 4))
+    lead = whole.column(5)
+    same = pc.equal(lead[1:], lead[:-1]).to_numpy(zero_copy_only=False).astype(bool) & (lo[1:] == lo[:-1]) & (hi[1:] == hi[:-1])
+    cls = np.cumsum(np.r_[True, ~same])
+    after, a_size = _matrix(whole.column(7), -(-length // 8) * 8, False)
+    before, b_size = _matrix(whole.column(6), -(-reach // 8) * 8, True)
+    order, right = _ordered(after, a_size, cls)
+    back, left = _ordered(before, b_size, cls)
     # only classes with several occurrences matter
     seen = np.bincount(cls, weights=times)[cls] > 1
     low, high = np.full(n, reach + 1), np.full(n, -1)
@@ -309,7 +378,7 @@ def _spans(held: list[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.Re
     for o in range(reach + 1):  # the string starts o bytes before the anchor
         ids[0][order] = np.cumsum(right < length - o)
         ids[1][back] = np.cumsum(left < o)
-        rows = np.flatnonzero(seen & (b_size >= o) & (a_size >= length - o))
+        rows = np.flatnonzero(seen & (lo <= o) & (o <= hi) & (b_size >= o) & (a_size >= length - o))
         if not len(rows):
             continue
         _, inverse = np.unique(ids[0][rows] * (n + 1) + ids[1][rows], return_inverse=True)
@@ -317,14 +386,7 @@ def _spans(held: list[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.Re
         low[rows] = np.minimum(low[rows], o)
         high[rows] = np.maximum(high[rows], o)
     rows = np.flatnonzero(high >= 0)
-    flat = who.flatten()
-    pick = np.repeat(cuts[rows] - cuts[0] - np.cumsum(times[rows]) + times[rows], times[rows]) + np.arange(times[rows].sum())
-    flat = flat.take(pa.array(pick))
-    at = flat.field("at").to_numpy()
-    s, e = at - np.repeat(high[rows], times[rows]), at - np.repeat(low[rows], times[rows]) + length
-    made = pa.RecordBatch.from_arrays([flat.field("doc_id"), flat.field("th"), pa.array(s), pa.array(e)], ["doc_id", "th", "s", "e"])
-    for k in range(0, made.num_rows, 50_000):
-        yield made.slice(k, 50_000)
+    yield pa.RecordBatch.from_arrays([whole.column(0).take(pa.array(rows)), whole.column(1).take(pa.array(rows)), pa.array(low[rows]), pa.array(high[rows])], ["h", "c", "low", "high"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,10 +411,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
 
 
-def _table(grams: DataFrame):
-    """A bit table of the grams, sized by their count."""
+def _table(df: DataFrame, column: str = "h"):
+    """A bit table of a column of hashes, sized by their count."""
     least, most = BITS
-    return bit_table(grams, "h", min(most, max(least, (16 * grams.count()).bit_length())))
+    return bit_table(df, column, min(most, max(least, (8 * df.count()).bit_length())))
 
 
 def remove(df: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -361,23 +423,40 @@ def remove(df: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "do
     gram: bytes that an anchor is chosen by, below length.
     """
     kind = df.schema[key].dataType.simpleString()
-    docs = df.select(F.col(key).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    counts = arrow_map(docs.select("t"), partial(_grams, length=length, gram=gram), "h long, n long, x long, y long").groupBy("h").agg(F.sum("n").alias("n"), F.min("x").alias("x"), F.max("y").alias("y")).filter("n > 1")
-    grams = staged(counts.select("h", (F.col("x") == F.col("y")).alias("alike"), (F.col("n") > HOT).alias("many")), "grams")
-    hot, mixed, alike = grams.filter("not alike and many"), grams.filter("not alike and not many"), grams.filter("alike").select("h")
-    hot_table = _table(hot)
-    who = f"who array<struct<doc_id:{kind},th:bigint,at:bigint>>"
-    found = arrow_map(docs, partial(_contexts, shared=_table(mixed), hot=hot_table, length=length, gram=gram), f"before binary, after binary, {who}")
-    lead = F.substring("after", 1, gram)
-    spans = arrow_map(found.repartitionByRange(lead).sortWithinPartitions(lead), partial(_bucket, length=length, gram=gram, most=HELD), f"doc_id {kind}, th long, s long, e long")
-    whole = arrow_map(docs, partial(_whole, shared=_table(alike), length=length, gram=gram), f"h long, doc_id {kind}, th long, s long, e long").join(alike, "h").drop("h")
-    spans = spans.union(whole)
-    if hot.limit(1).count():
-        around = staged(arrow_map(docs, partial(_strings, hot=hot_table, length=length, gram=gram), f"h long, c long, {who}, strings array<struct<o:int,s:bigint>>"), "strings")
-        each = around.select("h", "c", F.size("who").alias("n"), F.explode("strings").alias("x")).select("h", "c", "n", "x.o", "x.s")
-        repeated = each.groupBy("h", "o", "s").agg(F.sum("n").alias("n")).filter("n > 1").drop("n")
-        ends = each.select("h", "o", "s", "c").distinct().join(repeated, ["h", "o", "s"]).groupBy("h", "c").agg(F.min("o").alias("low"), F.max("o").alias("high"))
-        spans = spans.union(around.select("h", "c", F.explode("who").alias("w")).join(staged(ends, "ends"), ["h", "c"]).select("w.doc_id", "w.th", F.col("w.at") - F.col("high"), F.col("w.at") - F.col("low") + length))
+    docs = df.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(key)).alias("dh"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    how = {"length": length, "gram": gram}
+    counts = arrow_map(docs.select("t"), partial(_grams, **how), "h long, n long, x long, y long").groupBy("h").agg(F.sum("n").alias("n"), F.min("x").alias("x"), F.max("y").alias("y")).filter("n > 1")
+    grams = staged(counts.select("h", "x", (F.col("x") == F.col("y")).alias("alike"), (F.col("n") > HOT).alias("hot")), "grams")
+    mixed, whole = grams.filter("not alike").select("h"), grams.filter("alike").select("h", F.col("x").alias("c"))
+    hot = owners = wide = None
+    if grams.filter("hot and not alike").limit(1).count():
+        # different contexts of the hot grams, once each
+        around = lambda table, pieces: staged(arrow_map(docs, partial(_hot, shared=table, pieces=pieces, **how), "h long, c long, n long, owner long").groupBy("h", "c").agg(F.sum("n").alias("n"), F.min("owner").alias("owner")), "hot")
+        hot = _table(grams.filter("hot and not alike"))
+        contexts = around(hot, False)
+        many = staged(contexts.groupBy("h").agg(F.count("*").alias("m")).filter(F.col("m") > WIDE).select("h"), "wide")
+        if many.limit(1).count():
+            wide = _table(many)
+            pieces = around(wide, True)
+            several = staged(pieces.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h"), "several")
+            mixed = mixed.union(several)
+            contexts = contexts.union(pieces.join(several, "h"))
+            whole = whole.union(pieces.filter("n > 1").select("h", "c"))
+            hot = _table(grams.filter("hot and not alike").select("h").union(several))
+        owners = _table(contexts, "owner")
+        whole = whole.union(contexts.filter("n > 1").select("h", "c"))
+    binary = "lead binary, before binary, after binary"
+    met = arrow_map(docs, partial(_contexts, mixed=_table(mixed), hot=hot, owners=owners, wide=wide, **how), f"h long, c long, lo long, hi long, times long, {binary}")
+    met = arrow_map(met.repartitionByRange("lead").sortWithinPartitions("lead", "lo"), partial(_bucket, most=HELD, **how), "h long, c long, low long, high long")
+    none = F.lit(None).cast("long")
+    found = met.union(whole.select("h", "c", none.alias("low"), none.alias("high"))).groupBy("h", "c")
+    # a context without places is whole: all strings around the anchor repeat
+    least = lambda f, c: F.when(F.count(c) == F.count(F.lit(1)), f(c)).alias(c)
+    found = found.agg(least(F.min, "low"), least(F.max, "high"))
+    found = staged(arrow_map(found, _paired, "h long, c long, low long, high long, k long"), "found")
+    places = arrow_map(docs, partial(_places, found=_table(found, "k"), wide=wide, **how), f"h long, c long, doc_id {kind}, th long, at long, left long, right long")
+    high, low = F.coalesce("high", "left"), F.coalesce(length - F.col("low"), F.col("right"))
+    spans = places.join(found.drop("k"), ["h", "c"]).select("doc_id", "th", (F.col("at") - high).alias("s"), (F.col("at") + low).alias("e"))
     spans = staged(spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e")).alias("found")), "spans")
     both = docs.alias("d").join(spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.th") == F.col("s.th")), "left").select("d.doc_id", "t", "found")
     out = arrow_map(both, _cut, f"doc_id {kind}, n_bytes long, removed array<struct<start:bigint,end:bigint>>, kept binary")
