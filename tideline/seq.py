@@ -114,7 +114,8 @@ class Seq:
             firsts = self.df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.min(F.struct(*self.order)).alias("__r")).select("__r.*", F.lit(1).alias("__first"))
             return self.like(self.df.join(firsts, self.order, "left")).running(name, F.coalesce("__first", F.lit(0)).cast("long")).drop("__first")
         nth = F.row_number().over(Window.partitionBy(*self.keys, value).orderBy(*self.order))
-        flagged = self.df.withColumn("__first", F.when(F.col(value).isNotNull() & (nth == 1), 1).otherwise(0).cast("long"))
+        # dealt by the keys, so that the window by key and value needs no other exchange
+        flagged = self.df.repartition(*self.keys).withColumn("__first", F.when(F.col(value).isNotNull() & (nth == 1), 1).otherwise(0).cast("long"))
         return flagged.withColumn(name, F.sum("__first").over(self.upto())).drop("__first")
 
     # filters and trims: SURVEY 2.3
