@@ -186,12 +186,18 @@ class Seq:
             return self.df.orderBy(*(F.desc(c) for c in self.order)).limit(1)
         return self._trim("__i", self.indexed("__i", reverse=True), F.col("__i") == 0)
 
-    # neighbours: SURVEY 2.2; without keys the position is the join key
+    # neighbours: SURVEY 2.2; without keys, rows further than one apart are joined by position
 
     def lagged(self, name: str, value: Column, n: int = 1) -> DataFrame:
         """The value n rows before (null if there is none)."""
         if self.keys:
             return self.df.withColumn(name, F.lag(value, n).over(self.by()))
+        if n == 1:  # a block's first row gets the last value of the block before (one row for each block)
+            df = self.blocks()
+            ends = df.groupBy(BLOCK).agg(F.max_by(F.struct(value.alias("v")), F.struct(*self.order)).alias("__e"))
+            ends = ends.select(BLOCK, F.lag("__e").over(Window.orderBy(BLOCK)).alias("__e"))
+            out = df.select("*", F.lag(value).over(self.by()).alias("__l"), (F.row_number().over(self.by()) == 1).alias("__f")).join(F.broadcast(ends), BLOCK)
+            return out.withColumn(name, F.when(F.col("__f"), F.col("__e.v")).otherwise(F.col("__l"))).drop(BLOCK, "__l", "__f", "__e")
         out = self.indexed("__i")
         other = out.select((F.col("__i") + n).alias("__i"), value.alias(name))
         return out.join(other, "__i", "left").drop("__i")
