@@ -89,6 +89,7 @@ def test_random_runs(spark):
     keys = [key(upper + lower, 24) for _ in range(40)] + [key(upper, 32) for _ in range(40)] + ["HWVP-6472-FIJK-5484-NTYL"]
     keys += ["-".join(key(digits if k % 2 else upper, 4) for k in range(5)) for _ in range(40)]
     plain = ["2024-03-12-order-by-name-and-index", "MAX_CONNECTION_TIMEOUT_SECONDS", "getUserAccountServiceManager", "/usr/local/share/config/main", "erberbeeinheitkeiter", "123456789012345678901234567890"]
+    plain += ["einpfschschheitpfkeit", "enpfauungeinachiesch"]  # invented words
     plain += [hashlib.sha1(b"x").hexdigest().upper(), hashlib.md5(b"x").hexdigest().upper(), "123E4567-E89B-12D3-A456-426614174000", "-" * 40, "=" * 25]
     rows = [(i, f"see {t} here") for i, t in enumerate(keys + plain)]
     for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), RANKS, P.PATTERN).collect():

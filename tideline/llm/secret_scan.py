@@ -40,6 +40,8 @@ LEAST_ASSIGNED, LEAST_ACCESS = 8, 16
 SHORT, LONG = 16, 20
 CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{SHORT},}}")
 MOST_EFFICIENT = 2.0
+#: The same for runs of lower-case letters alone, which long words of rare languages come near to.
+MOST_EFFICIENT_LOWER = 1.85
 # Lengths in hex digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 _UUID = re.compile(r"[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}", re.I)
@@ -85,7 +87,9 @@ def random_spans(text: str, base: list[tuple[int, int, str]], count) -> list[tup
         assigned = any(s <= start and end <= e and kind == "assign" for s, e, kind in base[first:after])
         if not assigned and any(s < end and start < e for s, e, _ in base[first:after]):
             continue
-        if len(run := m[0]) <= MOST_EFFICIENT * count(run) and not excluded(run, count, assigned):
+        run = m[0]
+        most = MOST_EFFICIENT_LOWER if run.isalpha() and run.islower() else MOST_EFFICIENT
+        if len(run) <= most * count(run) and not excluded(run, count, assigned):
             found.append((start, end, "random"))
     return found
 
