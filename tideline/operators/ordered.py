@@ -20,9 +20,14 @@ def reversed_rows(seq: Seq, name: str = "turn") -> DataFrame:
     return seq.indexed(name, reverse=True)
 
 
-def sorted_rows(df: DataFrame, *by: Column, name: str | None = None) -> DataFrame:
-    """A total order by range partitions; name: a column for the place in it (``by`` must then be plain ascending columns)."""
-    return Seq(df, [c if isinstance(c, str) else c._jc.toString() for c in by]).indexed(name) if name else df.orderBy(*by)
+def sorted_rows(df: DataFrame, *by: Column | str) -> DataFrame:
+    """A total order by range partitions."""
+    return df.orderBy(*by)
+
+
+def ranked_rows(df: DataFrame, by: Sequence[str], name: str = "place") -> DataFrame:
+    """Every row with its place in the order of the columns (which must tell rows apart)."""
+    return Seq(df, by).indexed(name)
 
 
 def separated_rows(seq: Seq, every: int = 1, where: str = "between", mark: str = "separator") -> DataFrame:
