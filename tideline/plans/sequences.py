@@ -75,7 +75,7 @@ def reverse(read, spark):
 
 @query("SELECT o_orderkey, row_number() over (order by o_totalprice, o_orderkey) - 1 AS place FROM orders")
 def sort_by(read, spark):
-    return ordered.ranked_rows(ordered.sorted_rows(read("orders").select("o_orderkey", "o_totalprice"), "o_orderkey"), ["o_totalprice", "o_orderkey"]).drop("o_totalprice")
+    return ordered.ranked_rows(read("orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"]).drop("o_totalprice")
 
 
 @query("SELECT x, row_number() over (order by x, new desc) - 1 AS turn FROM (SELECT s_suppkey AS x, 0 AS new FROM supplier UNION ALL SELECT 7, 1)")
