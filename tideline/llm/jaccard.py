@@ -54,6 +54,8 @@ FREQUENT = 1_000_000
 #: Hashes counted at a time in a task.
 COUNTED = 1_500_000
 BITS, DOC_BITS = 26, 24
+#: Sets that are compared with another one in one task, about.
+TOGETHER = 64
 #: Bits of a set's parity bitmap.
 PARITY = 2048
 _WORD = not_space()
@@ -125,21 +127,26 @@ def _prefixes(batches: Iterator[pa.RecordBatch], shared, k: int, percent: int) -
 
 
 def _verify(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """a and b of the pairs whose texts ta and tb are similar enough."""
+    """a and b of the pairs that are similar enough.
+
+    Rows are (b, chunk, role, a, t), sorted by the first three: b's own text (role 0),
+    then those of the sets to compare with it.
+    """
+    at, hub = None, np.zeros(0, U64)
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            sets = []
-            for name in ("ta", "tb"):
-                rows = []
-                for _, _, data, bounds in chunks(part.column(part.schema.get_field_index(name))):
-                    x, sb = _sets(data, bounds, k)
-                    rows += [x[s:e] for s, e in zip(sb, sb[1:])]
-                sets.append(rows)
-            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets)], np.int64)
-            total = np.array([len(x) + len(y) for x, y in zip(*sets)], np.int64)
-            good = pa.array((both > 0) & (100 * both >= percent * (total - both)))
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)).filter(good) for c in ("a", "b")], ["a", "b"])
+        b, chunk, role, a = (batch.column(c).to_numpy() for c in range(4))
+        good = np.zeros(batch.num_rows, bool)
+        for first, _, data, bounds in chunks(batch.column(4)):
+            x, sb = _sets(data, bounds, k)
+            for i, (s, e) in enumerate(zip(sb, sb[1:]), first):
+                if role[i] == 0:
+                    at, hub = (b[i], chunk[i]), x[s:e].copy()
+                elif e > s and len(hub):
+                    assert at == (b[i], chunk[i])
+                    place = np.minimum(np.searchsorted(hub, x[s:e]), len(hub) - 1)
+                    both = int((hub[place] == x[s:e]).sum())
+                    good[i] = both > 0 and 100 * both >= percent * (len(hub) + int(e - s) - both)
+        yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
 
 
 def _crossing(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -201,8 +208,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, docs: DataFram
     texts = docs.select("doc_id", F.xxhash64("t").alias("th"), "t").select(key, "doc_id", "th", "t")
     texts = arrow_map(texts, partial(_wanted, shared=bit_table(wanted.select(key), "k", DOC_BITS)), texts.schema)
     texts = wanted.join(texts, wanted["doc_id"].eqNullSafe(texts["doc_id"]) & (wanted["th"] == texts["th"])).select("sid", "t")
-    of = lambda x: texts.select(F.col("sid").alias(x), F.col("t").alias(f"t{x}"))
-    return staged(arrow_map(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb"), partial(_verify, k=k, percent=percent), "a long, b long").distinct(), "links")
+    # a set that many are compared with is sent once for every TOGETHER of them
+    many = pairs.groupBy("b").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("m"))
+    dealt = staged(pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("m")).cast("int").alias("chunk")), "dealt")
+    roles = dealt.select("b", "chunk", F.lit(1).alias("role"), F.col("a").alias("sid")).union(dealt.select("b", "chunk", F.lit(0), "b").distinct())
+    rows = roles.join(texts, "sid").select("b", "chunk", "role", F.col("sid").alias("a"), "t")
+    rows = rows.repartition("b", "chunk").sortWithinPartitions("b", "chunk", "role")
+    return staged(arrow_map(rows, partial(_verify, k=k, percent=percent), "a long, b long").distinct(), "links")
 
 
 def classes(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
