@@ -47,13 +47,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .grid import CHUNK, U64, mix, powers, text_buffer
-from .staging import arrow_map, bit_table, staged
+from .staging import Both, arrow_map, bit_table, staged
 
 LENGTH, GRAM = 200, 64
 #: Bits of a bit table: 8 to 16 for each entry, between these powers of two (beyond, more contexts pass than needed).
 BITS = (20, 29)
 #: Occurrences that make a gram hot, and different contexts from which on they are dealt further; contexts sorted at a time, about.
-HOT, WIDE, HELD = 4096, 20_000, 20_000
+HOT, WIDE, HELD = 2000, 2000, 20_000
 #: Ranges of places that the strings around a gram of very many contexts are dealt into.
 PIECES = 8
 
@@ -162,9 +162,8 @@ class _Anchored:
         n = len(self.h)
         return np.arange(n), self.h, np.zeros(n, np.int64), np.full(n, self.reach), self.start, self.end
 
-    def pieces(self, wide) -> tuple[np.ndarray, ...]:
-        """The ranges of grams that the table holds."""
-        of = np.flatnonzero(wide.test(self.h))
+    def pieces(self, of: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The ranges around some anchors."""
         parts = []
         for p, places in enumerate(np.array_split(np.arange(self.reach + 1), min(PIECES, self.reach + 1))):
             lo, hi = int(places[0]), int(places[-1])
@@ -182,8 +181,21 @@ class _Anchored:
         whole = self.whole()
         if wide is None:
             return whole
-        rest = ~wide.test(self.h)
-        return tuple(np.concatenate([x[rest], y]) for x, y in zip(whole, self.pieces(wide)))
+        dealt = wide.test(self.h)
+        return tuple(np.concatenate([x[~dealt], y]) for x, y in zip(whole, self.pieces(np.flatnonzero(dealt))))
+
+    def all_ranges(self, wide, repeated, but) -> tuple[np.ndarray, ...]:
+        """Whole contexts, and pieces of those of the grams that the first table (if there is one) holds.
+
+        Contexts that the second table holds, but not the third, repeat as a whole and need no pieces.
+        """
+        whole = self.whole()
+        if wide is None:
+            return whole
+        of = np.flatnonzero(wide.test(self.h))
+        k = _pair(self.h[of], self.contexts(of, self.start[of], self.end[of]))
+        of = of[~repeated.test(k) | but.test(k)]
+        return tuple(np.concatenate([x, y]) for x, y in zip(whole, self.pieces(of)))
 
 
 def _anchored(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[_Anchored]:
@@ -224,7 +236,7 @@ def _hot(batches: Iterator[pa.RecordBatch], shared, pieces: bool, length: int, g
     """Contexts around the grams that the table holds (or pieces of them), with count and one owner."""
     for anchored in _anchored(batches, length, gram):
         if pieces:
-            anchor, h, _, _, start, end = anchored.pieces(shared.value)
+            anchor, h, _, _, start, end = anchored.pieces(np.flatnonzero(shared.value.test(anchored.h)))
         else:
             keep = shared.value.test(anchored.h)
             anchor, h, _, _, start, end = (x[keep] for x in anchored.whole())
@@ -254,19 +266,29 @@ def _contexts(batches: Iterator[pa.RecordBatch], mixed, hot, owners, wide, lengt
         yield pa.RecordBatch.from_arrays([*_signed(h[one], c[one], lo, hi, times), *parts], ["h", "c", "lo", "hi", "times", "lead", "before", "after"])
 
 
+def _pair(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return mix(h ^ mix(c))
+
+
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows with one hash of the hashes of gram and context."""
     for batch in batches:
         h, c = (batch.column(k).to_numpy().view(U64) for k in (0, 1))
-        yield pa.RecordBatch.from_arrays([*batch.columns, *_signed(mix(h ^ mix(c)))], [*batch.schema.names, "k"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, *_signed(_pair(h, c))], [*batch.schema.names, "k"])
 
 
-def _places(batches: Iterator[pa.RecordBatch], found, wide, length: int, gram: int) -> Iterator[pa.RecordBatch]:
+def _held(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
+    """The rows whose last column the table holds."""
+    for batch in batches:
+        yield batch.filter(pa.array(table.value.test(batch.column(batch.num_columns - 1).to_numpy().view(U64))))
+
+
+def _places(batches: Iterator[pa.RecordBatch], found, wide, repeated, but, length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Who has the contexts that the table holds, where, and how far they go before and after the anchor."""
     for anchored in _anchored(batches, length, gram):
-        anchor, h, _, _, start, end = anchored.ranges(wide and wide.value)
+        anchor, h, _, _, start, end = anchored.all_ranges(*(t and t.value for t in (wide, repeated, but)))
         c = anchored.contexts(anchor, start, end)
-        keep = np.flatnonzero(found.value.test(mix(h ^ mix(c))))
+        keep = np.flatnonzero(found.value.test(_pair(h, c)))
         if not len(keep):
             continue
         a = anchor[keep]
@@ -428,20 +450,24 @@ def remove(df: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "do
     counts = arrow_map(docs.select("t"), partial(_grams, **how), "h long, n long, x long, y long").groupBy("h").agg(F.sum("n").alias("n"), F.min("x").alias("x"), F.max("y").alias("y")).filter("n > 1")
     grams = staged(counts.select("h", "x", (F.col("x") == F.col("y")).alias("alike"), (F.col("n") > HOT).alias("hot")), "grams")
     mixed, whole = grams.filter("not alike").select("h"), grams.filter("alike").select("h", F.col("x").alias("c"))
-    hot = owners = wide = None
+    hot = owners = wide = repeated = but = None
     if grams.filter("hot and not alike").limit(1).count():
         # different contexts of the hot grams, once each
         around = lambda table, pieces: staged(arrow_map(docs, partial(_hot, shared=table, pieces=pieces, **how), "h long, c long, n long, owner long").groupBy("h", "c").agg(F.sum("n").alias("n"), F.min("owner").alias("owner")), "hot")
         hot = _table(grams.filter("hot and not alike"))
         contexts = around(hot, False)
-        many = staged(contexts.groupBy("h").agg(F.count("*").alias("m")).filter(F.col("m") > WIDE).select("h"), "wide")
+        many = contexts.groupBy("h").agg(F.count("*").alias("m")).filter(F.col("m") > WIDE).select("h")
         if many.limit(1).count():
-            wide = _table(many)
+            wide = Both(_table(many), hot)  # so that contexts has all that passes
             pieces = around(wide, True)
-            several = staged(pieces.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h"), "several")
+            several = pieces.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h")
             mixed = mixed.union(several)
-            contexts = contexts.union(pieces.join(several, "h"))
             whole = whole.union(pieces.filter("n > 1").select("h", "c"))
+            # contexts that repeat as a whole, and those that only the bit table takes for such
+            paired = arrow_map(contexts.select("h", "c", "n"), _paired, "h long, c long, n long, k long")
+            repeated = _table(paired.filter("n > 1"), "k")
+            but = _table(arrow_map(paired.filter("n = 1").select("k"), partial(_held, table=repeated), "k long"), "k")
+            contexts = contexts.union(pieces.join(several, "h"))
             hot = _table(grams.filter("hot and not alike").select("h").union(several))
         owners = _table(contexts, "owner")
         whole = whole.union(contexts.filter("n > 1").select("h", "c"))
@@ -454,7 +480,7 @@ def remove(df: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "do
     least = lambda f, c: F.when(F.count(c) == F.count(F.lit(1)), f(c)).alias(c)
     found = found.agg(least(F.min, "low"), least(F.max, "high"))
     found = staged(arrow_map(found, _paired, "h long, c long, low long, high long, k long"), "found")
-    places = arrow_map(docs, partial(_places, found=_table(found, "k"), wide=wide, **how), f"h long, c long, doc_id {kind}, th long, at long, left long, right long")
+    places = arrow_map(docs, partial(_places, found=_table(found, "k"), wide=wide, repeated=repeated, but=but, **how), f"h long, c long, doc_id {kind}, th long, at long, left long, right long")
     high, low = F.coalesce("high", "left"), F.coalesce(length - F.col("low"), F.col("right"))
     spans = places.join(found.drop("k"), ["h", "c"]).select("doc_id", "th", (F.col("at") - high).alias("s"), (F.col("at") + low).alias("e"))
     spans = staged(spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e")).alias("found")), "spans")

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..shipping import ship
 from ..staging import staged
 
-__all__ = ["BitTable", "arrow_map", "bit_table", "staged"]
+__all__ = ["BitTable", "Both", "arrow_map", "bit_table", "staged"]
 
 
 #: Rows of an Arrow batch: whole texts can be long, so fewer than Spark's default, which is taken to mean that none was chosen.
@@ -57,6 +57,20 @@ class BitTable:
         return (np.frombuffer(self.packed, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
+class Both:
+    """Holds what all of some broadcast bit tables hold."""
+
+    def __init__(self, *tables):
+        self.tables = tables
+
+    @property
+    def value(self) -> Both:
+        return self
+
+    def test(self, hashes: np.ndarray) -> np.ndarray:
+        return np.logical_and.reduce([t.value.test(hashes) for t in self.tables])
+
+
 def bit_table(df: DataFrame, column: str, bits: int):
     """A broadcast BitTable of the column (long).
 
