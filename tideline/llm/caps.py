@@ -44,7 +44,7 @@ from .staging import arrow_map, staged
 CODE = 256
 #: Filters of a vector by the number of blocks: expected, and at least.
 FILTERS = {2: (14, 12), 3: (42, 36), 4: (126, 108)}
-BLOCK = 2048
+BLOCK = 512
 SKETCH = 16
 
 
