@@ -14,11 +14,14 @@ length go whole.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import decontam, jaccard, lang_id, queries, secret_scan
-from tideline.llm.staging import staged
+from tideline.llm.staging import give_back, staged
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -27,6 +30,21 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.3
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def lean(stage: Stage) -> Stage:
+    """The stage, begun once the driver has given back what the work before it has freed."""
+
+    @wraps(stage)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        give_back(spark)
+        return stage(spark, docs, sf_dir)
+
+    return begun
+
+
+@lean
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is recognised, with ``lang`` set to it.
 
@@ -35,6 +53,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     directly and ``lang`` stays null.
     """
     model = lang_id.fit(docs)
+    give_back(spark)
     if not model.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     found = lang_id.predict(docs.select(*COLUMNS), model, keys=COLUMNS, lang="__lang", score="__score")
@@ -57,6 +76,7 @@ def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return docs.join(parts, same, "left_anti")
 
 
+@lean
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each group of near copies (five-word shingles, similarity of 0.8 or more)."""
     keyed = _keyed(docs)
@@ -68,6 +88,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return kept.select(*COLUMNS)
 
 
+@lean
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs, however long they are."""
     keyed = _keyed(docs)
@@ -75,6 +96,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return _without(keyed, found.filter("n_hit > 0")).select(*COLUMNS)
 
 
+@lean
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with each secret replaced by [SECRET]; n_chars follows the text."""
     found = secret_scan.scan(docs.select(*COLUMNS), *queries.tokenizer(), keys=COLUMNS, base="__base", spans="__spans")
@@ -92,6 +114,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return out.withColumn("n_chars", F.when(F.col("__n") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
+@lean
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded bytes, with the language."""
     return queries.encoded(docs, "lang")

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -15,6 +16,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from tideline.llm import bpe, caps, decontam, jaccard, lang_id, main_text, pii, repeats, secret_scan, shards
+from tideline.llm.staging import give_back
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
 NAMES = "abcdefghijklmnopqrstuvwxyz"
@@ -226,6 +228,33 @@ def test_language_learns_every_language(spark):
     assert all(r["lang_pred"] == langs[r["doc_id"]] for r in lang_id.predict(df, one).collect())
 
 
+def test_language_fit_is_lean(spark):
+    # the two families take all rows, so each copy of the sample's features would count in full
+    rng = random.Random(3)
+    letters = {"en": "aeth", "de": "uzck", "fr": "oiqx", "es": "ljvn"}
+    rows = [(i, " ".join("".join(rng.choice(letters[v]) for _ in range(5)) for _ in range(30)), v) for i, v in enumerate(list(letters) * 250)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tracemalloc.start()
+    try:
+        lang_id.fit(df)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 2.5 * len(rows) * lang_id.SIZE * 4
+
+
+def test_driver_gives_back(spark, monkeypatch):
+    import corpus_pipeline
+
+    assert give_back(spark).startswith("Trim native heap")
+    begun = []
+    monkeypatch.setattr(corpus_pipeline, "give_back", lambda session: begun.append(session))
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(AttributeError):  # there are no documents
+            stage(spark, None, "")
+    assert begun == [spark] * len(corpus_pipeline.STAGES)
+
+
 def test_main_text():
     page = "<html><head><title>t</title></head><body><nav><a href=x>menu</a></nav><div class='cookie-notice'>We, use, cookies, a lot of them</div><article><h1>Head &amp; line</h1><p>First   paragraph, long enough to count as one.<p>Second paragraph <b>bold<br>text</b>, also long enough.<form>Subscribe</form><script>x<y</script></article><section id=comments><p>A reader says, at length, that, this, is, good, indeed.</section><footer>foot</footer>"
     assert main_text.main_text(page) == "Head & line\n\nFirst paragraph, long enough to count as one.\n\nSecond paragraph bold text, also long enough."

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .grid import U64, chunks, mix, not_space, packed, shingles, word_hashes, LOWER
-from .staging import arrow_map, bit_table, staged
+from .staging import arrow_map, bit_table, give_back, staged
 
 BANDS, BAND_ROWS = 6, 3
 #: Pivots tried for each set before the exact join.
@@ -226,6 +226,7 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("t").alias("th"), "t")
     rows = staged(arrow_map(rows, partial(_prefixes, shared=shared, k=words, percent=percent), f"row long, doc_id {kind}, th long, n long, central double, d1 long, d2 long, bands array<bigint>, prefix array<bigint>, parity array<bigint>"), "sets")
+    give_back(docs.sparkSession)  # here and below: what the driver has freed over the many plans before
     some = rows.filter("n > 0")
     sets = staged(some.groupBy("d1", "d2").agg(F.min(F.struct("row", "doc_id", "th", "n", "central", "bands")).alias("r"), F.min("doc_id").alias("least")).select("d1", "d2", F.col("r.row").alias("sid"), "r.doc_id", "r.th", "r.n", "r.central", "r.bands", "least"), "classes")
 
@@ -235,7 +236,9 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id
     stars = buckets.join(pivots, ["band", "key"]).filter((F.col("sid") != F.col("b")) & (100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")))
     stars = stars.groupBy(F.col("sid").alias("a"), "b").agg(F.count("*").alias("m")).groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("m", "b")), asc=False), 1, PIVOTS).alias("p"))  # a set has BANDS pivots at most
     first = _verified(stars.select("a", F.explode("p.b").alias("b")), sets, rows, docs, words, percent)
+    give_back(docs.sparkSession)
     roots = staged(components(first), "roots")
+    give_back(docs.sparkSession)
 
     # The exact join, between components only.
     tokens = sets.join(roots, sets["sid"] == roots["node"], "left").select("sid", F.coalesce("root", "sid").alias("comp"), "n")
@@ -261,6 +264,7 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id
     heavy = heavy.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
     links = first.union(_verified(light.union(heavy).distinct(), sets, rows, docs, words, percent))
 
+    give_back(docs.sparkSession)
     roots = components(links)
     labels = sets.join(roots, sets["sid"] == roots["node"], "left").select("d1", "d2", F.coalesce("root", "sid").alias("comp"), "least")
     labels = staged(labels, "labels")

@@ -131,14 +131,16 @@ def _vote(names: list[str], pairs: list[tuple[str, str]], margins: np.ndarray) -
     return best, 1 / (1 + np.exp(-2 * np.clip(least[np.arange(len(best)), best], -30, 30)))
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 300.0, steps: int = 150) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear machine with squared hinge loss, by accelerated gradient steps.
+def linear_svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, cost: float = 300.0, steps: int = 150) -> tuple[np.ndarray, float]:
+    """Weights and bias of a linear machine with squared hinge loss over some rows of x, by accelerated gradient steps.
 
-    Classes weigh the same whatever their sizes.
+    y: 1 or -1 for each of the rows.  Classes weigh the same whatever their sizes.
     """
-    scale = (0.2 / np.sqrt(x.mean(0) + 1e-5)).astype(np.float32)
-    z = np.empty((len(x), x.shape[1] + 1), np.float32)
-    np.multiply(x, scale, out=z[:, :-1])
+    z = np.empty((len(y), x.shape[1] + 1), np.float32)
+    for k in range(0, len(y), ROWS):  # the picked rows have no copy besides z
+        z[k : k + ROWS, :-1] = x[rows[k : k + ROWS]]
+    scale = (0.2 / np.sqrt(z[:, :-1].mean(0) + 1e-5)).astype(np.float32)
+    z[:, :-1] *= scale
     z[:, -1] = 1
     y = y.astype(np.float32)
     weight = (np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)) * cost).astype(np.float32)
@@ -151,7 +153,7 @@ def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 300.0, steps: int = 1
     for k in range(steps):
         at = w + np.float32(k / (k + 3)) * (w - old)
         slack = np.maximum(0, 1 - y * (z @ at))
-        old, w = w, at - np.float32(step) * (at - 2 * z.T @ (weight * y * slack))
+        old, w = w, at - np.float32(step) * (at - 2 * (z.T @ (weight * y * slack)))
     return w[:-1] * scale, float(w[-1])
 
 
@@ -163,6 +165,12 @@ def _featured(batches: Iterator[pa.RecordBatch], text: str, lang: str) -> Iterat
             yield pa.RecordBatch.from_arrays([langs[a:b], pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["lang", "x"])
 
 
+def _sampled(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Languages and features (rows x SIZE, half precision, as they came) of the sample."""
+    x = [np.frombuffer(v.as_buffer(), np.float16) for v in table.column("x")]
+    return np.array(table.column("lang").to_pylist(), object), np.concatenate([*x, np.zeros(0, np.float16)]).reshape(-1, SIZE)
+
+
 def fit(df: DataFrame, train: Column | None = None, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS) -> Model:
     """A model from the labelled rows first by the hash of the key: at most per_language of a language and most_rows in all, but FEWEST of each."""
     labelled = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (train if train is not None else F.lit(True)))
@@ -177,16 +185,14 @@ def fit(df: DataFrame, train: Column | None = None, text: str = "text", lang: st
     drawn = drawn.join(F.broadcast(bounds), F.col("lang") == F.col("l")).filter("draw < bound")
     first = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "key", "text"))
     sample = arrow_map(drawn.withColumn("at", first).filter(F.col("at") <= each).select("text", "lang"), partial(_featured, text="text", lang="lang"), "lang string, x binary")
-    rows = sample.toArrow()
-    langs = np.array(rows.column("lang").to_pylist(), object)
-    x = np.array([np.frombuffer(v, np.float16) for v in rows.column("x").to_pylist()], np.float32).reshape(-1, SIZE)
-    order = np.lexsort((x[:, :64].sum(1), langs.astype(str)))  # the fit does not depend on the order of arrival
+    langs, x = _sampled(sample.toArrow())
+    order = np.lexsort((x[:, :64].astype(np.float32).sum(1), langs.astype(str)))  # the fit does not depend on the order of arrival
     langs, x = langs[order], x[order]
     names = sorted(set(langs))
     fams = np.array([family(v) for v in langs], object)
     family_pairs = list(combinations(sorted(set(fams)), 2))
     pairs = [(a, b) for a, b in combinations(names, 2) if family(a) == family(b)]
-    fitted = [linear_svm(x[m], np.where(of[m] == a, 1.0, -1.0)) for of, ps in ((fams, family_pairs), (langs, pairs)) for a, b in ps for m in [(of == a) | (of == b)]]
+    fitted = [linear_svm(x, m, np.where(of[m] == a, 1.0, -1.0)) for of, ps in ((fams, family_pairs), (langs, pairs)) for a, b in ps for m in [np.flatnonzero((of == a) | (of == b))]]
     return Model(names, family_pairs, pairs, np.array([w for w, _ in fitted]).reshape(-1, SIZE), np.array([b for _, b in fitted]))
 
 

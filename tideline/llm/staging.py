@@ -10,14 +10,15 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
 from ..staging import staged
 
-__all__ = ["BitTable", "Both", "arrow_map", "bit_table", "staged"]
+__all__ = ["BitTable", "Both", "arrow_map", "bit_table", "give_back", "staged"]
 
 
 #: Rows of an Arrow batch: whole texts can be long, so fewer than Spark's default, which is taken to mean that none was chosen.
@@ -35,13 +36,38 @@ def arrow_map(df: DataFrame, function, schema: T.StructType | str) -> DataFrame:
 
 def _run(batches: Iterator[pa.RecordBatch], function) -> Iterator[pa.RecordBatch]:
     yield from function(batches)
-    # workers are kept between tasks; what this one has freed goes back to the system
+    _trim()  # workers are kept between tasks
+
+
+def _trim() -> None:
+    """What this Python process has freed goes back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not every C library has it
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def give_back(spark: SparkSession) -> str | None:
+    """What the driver's Python process and its JVM have freed outside the heap goes back to the system; the JVM's report.
+
+    A driver that has compiled and run many plans keeps hundreds of MB in its C
+    library's free lists.  A JVM that has no such command gives None.
+    """
+    _trim()
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    kind = jvm.java.lang.Class.forName
+    names = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+    with contextlib.suppress(Py4JError):
+        command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        given = (command, "systemTrimNativeHeap", gateway.new_array(jvm.Object, 0), gateway.new_array(jvm.String, 0))
+        kinds, values = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.Object, 4)
+        for i in range(4):
+            kinds[i], values[i] = kind(names[i]), given[i]
+        # by reflection, as the server's own class is not open to Py4J
+        return kind("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    return None
+
+
 #: Leading bits of a hash that a bit table leaves out.
 SKIPPED = 24
 
