@@ -339,6 +339,34 @@ def test_repeats_of_a_hot_gram(spark, monkeypatch, hot, wide):
         assert (bytes(got[i]["kept"]), len(got[i]["removed"])) == (kept, n), texts[i]
 
 
+def test_repeats_beside_a_hot_gram(spark, monkeypatch):
+    """Passages of one string each that repeat once; none may be taken for a hot gram of many contexts, however full the bit tables are."""
+    for name, value in (("HOT", 50), ("WIDE", 100), ("BITS", (6, 29))):
+        monkeypatch.setattr(repeats, name, value)
+    rng = random.Random(11)
+    part = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    line, before, after = part(50), part(40), part(40)
+    texts = []
+    for _ in range(1000):
+        cut = rng.randint(0, 40)
+        texts.append(part(40) + before[cut:] + line + after[: 40 - cut] + part(40))
+    for passage in [part(60) for _ in range(600)]:
+        texts += [part(50) + passage + part(50) for _ in range(2)]
+    want = brute_repeats([t.encode() for t in texts], 60)
+    got = {r["doc_id"]: r for r in repeats.remove(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 60, 24).collect()}
+    assert [(bytes(got[i]["kept"]), len(got[i]["removed"])) for i in range(len(texts))] == want
+    assert sum(n for _, n in want[1000:]) >= 1200
+
+
+def test_common_lengths_of_many_rows():
+    """Every row has its common length with the one before, however many are compared at a time."""
+    table = np.zeros((20_000, 8), np.uint8)
+    table[:, :4] = np.arange(20_000, dtype=">u4").view(np.uint8).reshape(-1, 4) >> 1
+    size = np.full(20_000, 6)
+    want = [0, *(next((k for k in range(6) if a[k] != b[k]), 6) for a, b in zip(table[:-1].tolist(), table[1:].tolist()))]
+    assert repeats._common(table, size, np.arange(20_000)).tolist() == want
+
+
 def test_repeats_of_a_long_text(spark):
     """Texts longer than a chunk, with repeats across its borders."""
     rng = random.Random(10)

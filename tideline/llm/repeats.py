@@ -254,7 +254,8 @@ def _contexts(batches: Iterator[pa.RecordBatch], mixed, hot, owners, wide, lengt
         ranges = anchored.ranges(wide and wide.value)
         keep = mixed.value.test(ranges[1])
         if hot:
-            keep &= ~hot.value.test(ranges[1]) | owners.value.test(anchored.owners(ranges[0]))
+            # the table also holds other grams, whose contexts have owners too; pieces have them whatever it holds
+            keep &= ~(hot.value.test(ranges[1]) | (ranges[3] - ranges[2] < anchored.reach)) | owners.value.test(anchored.owners(ranges[0]))
         anchor, h, lo, hi, start, end = (x[keep] for x in ranges)
         if not len(h):
             continue
@@ -344,11 +345,11 @@ def _common(table: np.ndarray, size: np.ndarray, order: np.ndarray) -> np.ndarra
     """Common length of each row, in order, with the one before it."""
     out = np.zeros(len(order), np.int64)
     for s in range(1, len(order), 8192):
-        a, b = order[s - 1 : s + 8191][:-1], order[s : s + 8191]
-        a = a[: len(b)]
+        b = order[s : s + 8192]
+        a = order[s - 1 : s - 1 + len(b)]
         differ = table[a] != table[b]
         n = np.where(differ.any(1), differ.argmax(1), table.shape[1])
-        out[s : s + 8191] = np.minimum(n, np.minimum(size[a], size[b]))
+        out[s : s + 8192] = np.minimum(n, np.minimum(size[a], size[b]))
     return out
 
 
@@ -468,7 +469,6 @@ def remove(df: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "do
             repeated = _table(paired.filter("n > 1"), "k")
             but = _table(arrow_map(paired.filter("n = 1").select("k"), partial(_held, table=repeated), "k long"), "k")
             contexts = contexts.union(pieces.join(several, "h"))
-            hot = _table(grams.filter("hot and not alike").select("h").union(several))
         owners = _table(contexts, "owner")
         whole = whole.union(contexts.filter("n > 1").select("h", "c"))
     binary = "lead binary, before binary, after binary"
