@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -367,6 +368,20 @@ def test_common_lengths_of_many_rows():
     assert repeats._common(table, size, np.arange(20_000)).tolist() == want
 
 
+def test_repeats_work_in_small_pieces(texts):
+    """Anchors are found over arrays that fit a processor's cache, and are those of the definition."""
+    column = pa.array([*(t for t in texts if t), "ab" * 300_000])
+    pieces = list(repeats._pieces(column, 60))
+    assert max(len(data) for _, _, data, _ in pieces) <= 1 << 17
+    rng = np.random.default_rng(12)
+    text = rng.integers(97, 101, 3000).astype(np.uint8)
+    text[2000:2500] = text[500:1000]
+    alone, _ = repeats.anchors(text, np.array([0, 3000]), 60, 24)
+    first, h = repeats.anchors(text[500:1000], np.array([0, 500]), 60, 24)
+    assert np.diff(alone).max() <= 37 and set(first + 500) | set(first + 2000) <= set(alone)
+    assert len(set(h.tolist())) == len({text[500 + a : 524 + a].tobytes() for a in first})
+
+
 def test_repeats_of_a_long_text(spark):
     """Texts longer than a chunk, with repeats across its borders."""
     rng = random.Random(10)

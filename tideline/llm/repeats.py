@@ -46,10 +46,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .grid import CHUNK, U64, mix, powers, text_buffer
+from .grid import U64, mix, powers, text_buffer
 from .staging import Both, arrow_map, bit_table, staged
 
 LENGTH, GRAM = 200, 64
+#: Bytes whose anchors are found at a time, about: the arrays of 8 bytes for each of them stay in the processor's cache.
+CHUNK = 1 << 16
+#: Multiplies a gram's hash before the least is taken (the hash of two grams may differ in its last bits only).
+_SPREAD = 0xD6E8FEB86659FD93
 #: Bits of a bit table: 8 to 16 for each entry, between these powers of two (beyond, more contexts pass than needed).
 BITS = (20, 29)
 #: Occurrences that make a gram hot, and different contexts from which on they are dealt further; contexts sorted at a time, about.
@@ -89,27 +93,41 @@ def _pieces(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield out()
 
 
+def _totals(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums up to each byte, and the factors by which differences of them are the hashes from each byte."""
+    up, down = powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, U64)
+    each = total[1:]
+    np.add(data, U64(1), out=each, dtype=U64)
+    each *= up[: len(data)]
+    np.cumsum(each, out=each)
+    return total, down
+
+
 def anchors(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and gram hashes of the anchors; each piece has length bytes at least."""
     n = len(data)
-    up, down = powers(n + 1)
-    total = np.zeros(n + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up[:n], out=total[1:])
+    total, down = _totals(data)
     count = n - gram + 1
-    h = mix((total[gram:] - total[:-gram]) * down[:count])
-    mask = U64((1 << int(n).bit_length()) - 1)
+    h = total[gram:] - total[:-gram]
+    h *= down[:count]
+    # the same for all pieces, so that of equal leading bits the first counts in each
+    mask = U64((1 << max(n, 2 * CHUNK).bit_length()) - 1)
     width = length - gram + 1
     padded = np.full(-(-count // width) * width, ~U64(0), U64)
-    padded[:count] = (h & ~mask) | np.arange(count, dtype=U64)
+    spread = padded[:count]
+    np.multiply(h, U64(_SPREAD), out=spread)
+    spread &= ~mask
+    spread |= np.arange(count, dtype=U64)
     table = padded.reshape(-1, width)
     ahead = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
     behind = np.minimum.accumulate(table, axis=1).ravel()
     windows = n - length + 1
     least = np.minimum(ahead[:windows], behind[width - 1 : width - 1 + windows])
-    end = np.repeat(bounds[1:], np.diff(bounds))[:windows]
-    at = (least[np.arange(windows) + length <= end] & mask).astype(np.int64)
-    at = at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at
-    return at, h[at]
+    least = np.concatenate([least[s : e - length + 1] for s, e in zip(bounds[:-1], bounds[1:])])
+    new = np.flatnonzero(least[1:] != least[:-1])
+    at = (np.r_[least[:1], least[1:][new]] & mask).astype(np.int64)
+    return at, mix(h[at])
 
 
 def _unique_anchors(column: pa.Array, length: int, gram: int):
@@ -141,9 +159,7 @@ class _Anchored:
         self.start, self.end = np.maximum(self.at - self.reach, bounds[row]), np.minimum(self.at + length, bounds[row + 1])
         self.base = int(self.start.min())
         part = data[self.base : int(self.end.max())]
-        up, self.down = powers(len(part) + 1)
-        self.total = np.zeros(len(part) + 1, U64)
-        np.cumsum((part.astype(U64) + U64(1)) * up[: len(part)], out=self.total[1:])
+        self.total, self.down = _totals(part)
 
     def hashed(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         start, end = start - self.base, end - self.base
