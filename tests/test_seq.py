@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tideline.functions import aggregates, arrays, parsers, text
 from tideline.operators import expand, multiset, parallel, stateful
+from tideline.plans import registry
 from tideline.seq import Seq
 from tideline.sources import files
 from tideline.streaming import sessions
@@ -271,3 +272,35 @@ def test_streaming_sessions(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted((r["k"], r["n"]) for r in spark.table("sess").collect()) == [(1, 1), (1, 2), (2, 1)]
+
+
+def taken(values, items, keep):
+    n = len(items)
+    ends = [e for e in range(n, len(values) + 1) if values[e - n : e] == items]
+    return values[: ends[0] - (0 if keep else n)] if ends else values
+
+
+@pytest.mark.parametrize("items", [[], [1], [1, 2], [1, 1, None], [None, 2]])
+def test_take_end_by_seq(spark, items):
+    """Rows and lists against plain slices; a list is made once, not again for each of its places."""
+    rng = random.Random(14)
+    lists = [[rng.choice([1, 2, None]) for _ in range(n)] for n in (1, 2, 3, 9, 30)] + [[2] * 5]
+    df = spark.createDataFrame([(k, i, x) for k, values in enumerate(lists) for i, x in enumerate(values)], "k long, ord long, x long")
+    column = F.array(*map(F.lit, items)).cast("array<long>")
+    for keep in (True, False):
+        rows = Seq(df, ["ord"], ["k"]).take_end_by_seq(F.col("x"), [F.lit(x) for x in items], keep).collect()
+        expected = [taken(values, items, keep) for values in lists]
+        assert [[r["x"] for r in sorted(rows, key=lambda r: r["ord"]) if r["k"] == k] for k in range(len(lists))] == expected
+        folded = df.groupBy("k").agg(aggregates.take_end_by_seq(F.col("x"), F.col("ord"), column, keep).alias("a"))
+        assert [r["a"] for r in folded.orderBy("k").collect()] == expected
+        assert folded._jdf.queryExecution().optimizedPlan().toString().count("array_sort(") == 1
+        whole = Seq(df.filter("k = 4").drop("k"), ["ord"])
+        assert listed(whole.take_end_by_seq(F.col("x"), [F.lit(x) for x in items], keep)) == expected[4]
+
+
+def test_take_end_by_seq_streams_rows_and_users_without_id_have_no_end(spark, tmp_path):
+    events = [(i, i // 2, user, kind) for user in (1, 2, None) for i, kind in enumerate(["view", "click", "view", "view", "click", "view"])] + [(0, 0, 3, "click"), (1, 0, 3, "view"), (0, 0, 4, "click")]
+    spark.createDataFrame(events, "event_id long, ts long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    out = registry.QUERIES["take_end_by_seq"](spark, str(tmp_path))
+    assert {tuple(r) for r in out.select("user_id", "with_it", "without").collect()} == {(1, 3, 1), (2, 3, 1), (3, 2, 0), (4, 1, 1), (None, 6, 6)}
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
