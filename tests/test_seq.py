@@ -1,12 +1,13 @@
 import itertools
 import random
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.functions import aggregates, arrays, parsers, text
+from tideline.functions import aggregates, arrays, codecs, parsers, text
 from tideline.operators import expand, multiset, parallel, stateful
 from tideline.plans import registry
 from tideline.seq import Seq
@@ -304,3 +305,14 @@ def test_take_end_by_seq_streams_rows_and_users_without_id_have_no_end(spark, tm
     out = registry.QUERIES["take_end_by_seq"](spark, str(tmp_path))
     assert {tuple(r) for r in out.select("user_id", "with_it", "without").collect()} == {(1, 3, 1), (2, 3, 1), (3, 2, 0), (4, 1, 1), (None, 6, 6)}
     assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("form", ["NFC", "NFD", "NFKC", "NFKD"])
+def test_normal_forms_go_through_python_a_few_rows_at_a_time(spark, form):
+    texts = ["", "plain", "é", "ẹ́ ﬁ", "가", "\U0001d15e\U00011099\U000110ba", "nul\0é", "\U0001f600" * 3, None, "é" * 50_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    out = df.select("i", codecs.normalize(F.col("t"), form).alias("n"), codecs.normalize(codecs.normalize(F.col("t"), "NFD"), form).alias("twice"))
+    expected = [None if t is None else unicodedata.normalize(form, t) for t in texts]
+    assert [(r["n"], r["twice"]) for r in out.orderBy("i").collect()] == [(t, t) for t in expected]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan

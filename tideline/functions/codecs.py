@@ -1,7 +1,7 @@
 """Codecs, normal forms, floats as bytes.
 
-What the JVM side offers is used as it is; normal forms and the bytes of floats go
-through Arrow batches.
+What the JVM side offers is used as it is; normal forms go through Python a few
+rows at a time, as texts can be long, and the bytes of floats in Arrow batches.
 """
 
 from __future__ import annotations
@@ -42,15 +42,14 @@ def swap_bytes(b: Column) -> Column:
 
 def normalize(s: Column, form: str = "NFC") -> Column:
     """Unicode normal form: NFC, NFD, NFKC or NFKD."""
-    from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("string")
-    def normal(x: pd.Series) -> pd.Series:
+    def normal(t: str | None) -> str | None:
         import unicodedata
 
-        return x.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize(form, t))
+        return t if t is None or t.isascii() else unicodedata.normalize(form, t)
 
-    return normal(s)
+    # pickled, 100 rows at a time; an Arrow batch would hold 10,000 whole texts, and each result of them
+    return F.udf(normal, "string", useArrow=False)(s)
 
 
 def is_ascii_alpha(s: Column) -> Column:
